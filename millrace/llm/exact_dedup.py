@@ -23,14 +23,14 @@ MIN_CHUNK, MAX_CHUNK = 256, 2048
 
 
 def boundary_class(residue: int) -> str:
-    """Regex class of all code points below U+0250 that leave ``residue`` modulo 16."""
-    return "[" + "".join(f"\\u{c:04x}" for c in range(0x21, 0x250) if c % 16 == residue) + "]"
+    """Regex class of the Latin-1 characters that leave ``residue`` modulo 16."""
+    return "[" + "".join(f"\\u{c:04x}" for c in range(0x21, 0x100) if c % 16 == residue) + "]"
 
 
 def chunk_pattern(min_chunk: int = MIN_CHUNK, max_chunk: int = MAX_CHUNK) -> str:
     """A chunk ends after the first pair of boundary characters past ``min_chunk``, or at ``max_chunk`` characters."""
-    pair = f"(?<={boundary_class(5)}{boundary_class(4)})"
-    return f"(?s).{{{min_chunk},{max_chunk}}}?{pair}|.{{1,{max_chunk}}}"
+    pair, rest = boundary_class(5) + boundary_class(4), max_chunk - min_chunk
+    return f"(?s).{{{min_chunk}}}(?:.{{0,{rest - 2}}}?{pair}|.{{0,{rest}}})|.{{1,{min_chunk}}}"
 
 
 def chunks(normalised: Column, min_chunk: int = MIN_CHUNK, max_chunk: int = MAX_CHUNK) -> Column:
