@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import exact_dedup, license_scan
+from millrace.llm import bestfit_packing, exact_dedup, histogram_packing, license_scan
+from millrace.llm.bpe import tokenizer_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,12 +17,23 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op3_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bestfit_packing.matrices(_table(spark, sf_dir, "documents"), tokenizer_path())
+    return rows.select("sequence_id", "n_tokens", F.crc32("input_ids").alias("ids_crc32"), F.crc32("position_ids").alias("positions_crc32"), "cu_seqlens", "doc_ids", "starts")
+
+
+def op6_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return histogram_packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(_table(spark, sf_dir, "documents")).drop("detections")
 
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_token_matrices": op3_token_matrices,
+    "op6_histogram_packing": op6_histogram_packing,
     "op8_license_scan": op8_license_scan,
 }
 
