@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bestfit_packing, exact_dedup, histogram_packing, license_scan
+from millrace.llm import bestfit_packing, exact_dedup, histogram_packing, lang_id, license_scan, mixing, order_minhash, url_filter
 from millrace.llm.bpe import tokenizer_path
+from millrace.llm.text import fold_remainder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,11 +18,21 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(_table(spark, sf_dir, "pages"))
+
+
 def op3_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bestfit_packing.matrices(_table(spark, sf_dir, "documents"), tokenizer_path())
     return rows.select("sequence_id", "n_tokens", F.crc32("input_ids").alias("ids_crc32"), F.crc32("position_ids").alias("positions_crc32"), "cu_seqlens", "doc_ids", "starts")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(fold_remainder(F.col("doc_id"), 3) == 1, F.lit(False))
+    return lang_id.identify(docs, ~held_out).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op6_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram_packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -30,11 +41,23 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(_table(spark, sf_dir, "documents")).drop("detections")
 
 
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
+def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.edit_sensitivity(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_url_filter": op2_url_filter,
     "op3_token_matrices": op3_token_matrices,
+    "op4_language_id": op4_language_id,
     "op6_histogram_packing": op6_histogram_packing,
     "op8_license_scan": op8_license_scan,
+    "op9_source_mixing": op9_source_mixing,
+    "op10_order_minhash": op10_order_minhash,
 }
 
 ORACLE_SQL = {
