@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bestfit_packing, exact_dedup, histogram_packing, lang_id, license_scan, mixing, order_minhash, url_filter
+from millrace.llm import bestfit_packing, exact_dedup, histogram_packing, lang_id, license_scan, lm_bloom, minhash_dedup, mixing, order_minhash, url_filter
 from millrace.llm.bpe import tokenizer_path
 from millrace.llm.text import fold_remainder
 
@@ -33,10 +33,21 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(docs, ~held_out).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op5_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(fold_remainder(F.col("doc_id"), 5) == 1, F.lit(False))
+    scored = lm_bloom.train_and_score(docs, ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram_packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"), words=4)
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(_table(spark, sf_dir, "documents")).drop("detections")
 
@@ -54,7 +65,9 @@ QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_token_matrices": op3_token_matrices,
     "op4_language_id": op4_language_id,
+    "op5_bloom_lm": op5_bloom_lm,
     "op6_histogram_packing": op6_histogram_packing,
+    "op7_minhash_dedup": op7_minhash_dedup,
     "op8_license_scan": op8_license_scan,
     "op9_source_mixing": op9_source_mixing,
     "op10_order_minhash": op10_order_minhash,
