@@ -7,8 +7,8 @@ equal when the lists are. Texts are shuffled once, as distinct chunks per task;
 
 Edge cases: null text counts as empty; empty (and all-space) texts are one group; any length of text is cut into
 chunks of at most ``max_chunk`` characters. Rows that repeat a doc_id with equal text get one decision each, and equal
-ones; ``exact_dedup_rows`` leaves a single row of them. A null doc_id sorts after all others. An empty table gives an
-empty result. Other columns of the input are ignored here.
+ones; ``exact_dedup_rows`` leaves a single row of them. A null doc_id sorts after all others, and ``exact_dedup_rows``
+leaves rows with one alone. An empty table gives an empty result. Other columns of the input are ignored here.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.store import let
+from millrace.llm.store import let, materialise
 from millrace.llm.text import text_or_empty, without_space
 
 MIN_CHUNK, MAX_CHUNK = 256, 2048
@@ -59,20 +59,19 @@ def verified_salt(docs: DataFrame, text_col: str, **sizes: int) -> int:
         salt += 1
 
 
-def recipes(docs: DataFrame, id_col: str, text_col: str, salt: int, keep: tuple[str, ...] = (), **sizes: int) -> DataFrame:
-    """_id, _chars (code points of the original), text_sha256, recipe (identifiers in order); ``keep``: columns to carry."""
+def recipes(docs: DataFrame, id_col: str, text_col: str, salt: int, **sizes: int) -> DataFrame:
+    """_id, _chars (code points of the original), text_sha256, recipe (identifiers in order)."""
 
     def row(norm: Column) -> Column:
         ids = F.flatten(F.transform(chunks(norm, **sizes), lambda c: F.array(*chunk_id(c, salt))))
         return F.struct(F.sha2(norm.cast("binary"), 256).alias("text_sha256"), ids.alias("recipe"))
 
     text = text_or_empty(F.col(text_col))
-    return docs.select(
-        F.col(id_col).alias("_id"), F.length(text).alias("_chars"), let(without_space(text), row).alias("_r"), *([F.struct(*keep).alias("_row")] if keep else [])
-    ).select("_id", "_chars", "_r.text_sha256", "_r.recipe", *(["_row"] if keep else []))
+    rows = docs.select(F.col(id_col).alias("_id"), F.length(text).alias("_chars"), let(without_space(text), row).alias("_r"))
+    return rows.select("_id", "_chars", "_r.text_sha256", "_r.recipe")
 
 
-def _decide(made: DataFrame, extra: list[str]) -> DataFrame:
+def _decide(made: DataFrame) -> DataFrame:
     best = F.min(F.struct((-F.col("_chars")).alias("c"), F.col("_id").isNull().alias("n"), F.col("_id").alias("i")))
     groups = made.groupBy("recipe").agg(best.alias("_best"), F.count("*").alias("group_size"))
     # The join key is made after the grouping, so both sides are dealt out anew and a hot group's rows can be split.
@@ -81,7 +80,7 @@ def _decide(made: DataFrame, extra: list[str]) -> DataFrame:
     right = groups.select(digest.alias("_key"), F.col("recipe").alias("_recipe"), "_best", "group_size")
     same = (F.col("_key") == F.col("_key_g")) & (F.col("recipe") == F.col("_recipe"))
     return left.join(right.withColumnRenamed("_key", "_key_g"), same).select(
-        F.col("_id").alias("doc_id"), F.col("_best.i").alias("keep_id"), "group_size", F.col("_id").eqNullSafe(F.col("_best.i")).alias("kept"), "text_sha256", *extra
+        F.col("_id").alias("doc_id"), F.col("_best.i").alias("keep_id"), "group_size", F.col("_id").eqNullSafe(F.col("_best.i")).alias("kept"), "text_sha256"
     )
 
 
@@ -90,10 +89,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Of equal texts the one with most code points in the original stays, then the smallest doc_id.
     """
-    return _decide(recipes(docs, id_col, text_col, verified_salt(docs, text_col, **sizes), **sizes), [])
+    return _decide(recipes(docs, id_col, text_col, verified_salt(docs, text_col, **sizes), **sizes))
 
 
 def exact_dedup_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **sizes: int) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns unchanged; of rows that repeat the staying doc_id, one."""
-    made = recipes(docs, id_col, text_col, verified_salt(docs, text_col, **sizes), keep=tuple(docs.columns), **sizes)
-    return _decide(made, ["_row"]).where("kept").dropDuplicates(["doc_id"]).select("_row.*")
+    """The rows of ``docs`` that stay, all columns unchanged. Texts don't move: the ids that go are taken away."""
+    judged = materialise(exact_dedup(docs, id_col, text_col, **sizes), "judged")
+    key = docs[id_col]
+    gone = judged.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    left = docs.join(gone, key == F.col("_gone"), "left_anti")
+    again = judged.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("_again")).count().where("count > 1").select("_again")
+    if again.isEmpty():
+        return left
+    single = left.join(again, key == F.col("_again"), "left_semi").dropDuplicates([id_col])
+    return left.join(again, key == F.col("_again"), "left_anti").unionByName(single)

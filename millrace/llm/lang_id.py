@@ -55,6 +55,11 @@ class Alphabet:
         for code, letter in enumerate(letters, 2):
             self._table[ord(letter)] = code
 
+    def known(self, points: np.ndarray) -> float:
+        """The share of a text's letters that are in the alphabet."""
+        codes = self._table[points]
+        return float((codes > 1).sum() / max((codes > 0).sum(), 1))
+
     def grams(self, points: np.ndarray) -> np.ndarray:
         """Codes of all n-grams of 1 to 3 letters, repeated as they occur; runs of blanks count as one."""
         codes = np.concatenate(([0], self._table[points], [0]))
@@ -101,8 +106,8 @@ class Scorer:
         values = np.concatenate((k, np.ones((len(texts), 1), np.float32)), axis=1) @ self.model.weights
         best = values.argmax(axis=1)
         shares = np.exp(SHARPNESS * (values - values.max(axis=1, keepdims=True)))
-        # A text that shares hardly an n-gram with any landmark has no evidence for its best language.
-        evidence = np.clip(k.max(axis=1), 0, 1)
+        # A text that shares hardly a letter or an n-gram with any landmark has no evidence for its best language.
+        evidence = np.clip(k.max(axis=1), 0, 1) * [self.alphabet.known(_points(t)) for t in texts]
         return [self.model.langs[i] for i in best], np.clip(evidence * (1 / shares.sum(axis=1)), 0, 1)
 
 

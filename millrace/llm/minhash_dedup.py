@@ -225,3 +225,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = members.join(found, F.col("rep") == F.col("rep_c"), "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     alone = rows.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionAll(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def near_dedup_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that are kept, all columns unchanged. Texts don't move: the ids that go are taken away."""
+    judged = near_duplicates(docs, id_col, text_col, **options)
+    gone = judged.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
