@@ -49,7 +49,7 @@ def _scratch(spark: SparkSession) -> str:
     return f"{base or tempfile.mkdtemp(prefix='millrace-')}/roundtrip-{_uuid.uuid4().hex}"
 
 
-_WORDS = "SELECT unnest(list_transform(regexp_extract_all({0}, '[A-Za-z0-9_'']+'), x -> lower(x))) AS word{1} FROM {2}"
+_WORDS = "SELECT lower(w) AS word{1} FROM (SELECT unnest(regexp_extract_all({0}, '[A-Za-z0-9_'']+')) AS w{1} FROM {2})"
 
 
 def _words(column: str, table: str, more: str = "") -> str:

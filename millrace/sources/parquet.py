@@ -22,7 +22,7 @@ def parquet_rows(spark: SparkSession, path: str | list[str], columns: list[str]
 
 def normalised(df: DataFrame) -> DataFrame:
     """All integers to bigint (unsigned 64-bit ones wrap), float to double; other types stay, nested ones too."""
-    half, whole = F.lit(2**63 - 1).cast("decimal(20,0)"), F.lit(2**64).cast("decimal(21,0)")
+    half, whole = F.lit(str(2**63 - 1)).cast("decimal(20,0)"), F.lit(str(2**64)).cast("decimal(21,0)")
 
     def one(field: T.StructField) -> Column:
         c, kind = F.col(f"`{field.name}`"), field.dataType
