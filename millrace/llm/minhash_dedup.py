@@ -8,8 +8,9 @@ the threshold goes. The rest is confirmed on the whole sets.
 
 Classes that share a band are not all paired. In each of a few rounds, the least class of a band's group is compared with
 those of other components, then leaves the group; groups of one component need nothing more. What is left of small groups is
-paired; classes in large ones are paired where they share one of their rarest shingles (a prefix filter: sets this alike
-must share one), which is exact and never pairs classes by their common passages alone.
+paired; classes in large ones are paired where few share one of their rarest shingles (a prefix filter: sets this alike
+must share one), which is exact and never pairs classes by their common passages alone. Where many share one, as in a large
+group of copies that differ just too much, the same filter works on the differences from one of them.
 
 Edge cases: a null text counts as empty; a text without words has an empty set, links with nothing and is its own component;
 fewer words than a shingle make one shingle; texts of any length are read whole. Rows that repeat a doc_id with its text are judged
@@ -163,16 +164,48 @@ def _other(rows: DataFrame) -> DataFrame:
     return rows.join(many.select(F.col("key").alias("key_m"), "first", "size"), F.col("key") == F.col("key_m")).drop("key_m")
 
 
-def _rare_pairs(rows: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
-    """Pairs of different components that share one of their rarest shingles: all that can be alike enough, of ``rows``
-    (id, component)."""
-    each = materialise(rows.distinct().join(sets, "id").select("id", "component", F.explode("shingles").alias("shingle")), "rare")
-    frequent = each.groupBy("shingle").agg(F.count("*").alias("df"))
-    by = Window.partitionBy("id").orderBy("df", "shingle")
-    ranked = each.join(frequent, "shingle").withColumn("rank", F.row_number().over(by)).withColumn("n", F.count("*").over(Window.partitionBy("id")))
+def _prefix(each: DataFrame, of: list[str], length: Column) -> DataFrame:
+    """Rows (id, shingle, ...) whose place ``rank`` among their id's shingles is up to ``length``; the rarest come first,
+    by their count under ``of``."""
+    frequent = each.groupBy(*of).agg(F.count("*").alias("df"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "shingle"))
+    return each.join(frequent, of).withColumn("rank", rank).where(F.col("rank") <= length)
+
+
+def _rare(rows: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
+    """key, id, component: the rarest shingles of ``rows`` (id, component). Sets that are alike enough share one of them."""
+    each = rows.distinct().join(sets, "id").withColumn("n", F.size("shingles")).select("id", "component", "n", F.explode("shingles").alias("shingle"))
     needed = F.col("n") - F.ceil(F.col("n") * threshold.numerator / threshold.denominator) + 1
-    prefix = materialise(ranked.where(F.col("rank") <= needed).select(F.col("shingle").alias("key"), "id", "component"), "prefix")
-    return _pairs_within(_other(prefix))
+    return materialise(_prefix(materialise(each, "rare"), ["shingle"], needed).select(F.col("shingle").alias("key"), "id", "component"), "prefix")
+
+
+def _difference_pairs(rows: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
+    """Pairs of different components in the clusters of ``rows`` (id, component, cluster) that can be alike enough.
+
+    A cluster's texts are mostly alike, so they are told apart by what each has more or less than the cluster's least one,
+    its pivot. The sets of a pair differ by as much as their differences from the pivot do, so those differences must share
+    all but so many elements: a prefix filter on them, with both places checked, leaves hardly more than the true links.
+    """
+    p, q = threshold.numerator, threshold.denominator
+    own = rows.distinct().join(sets, "id")
+    pivot = sets.select(F.col("id").alias("pivot"), F.col("shingles").alias("base"))
+    apart = own.join(pivot, F.col("cluster") == F.col("pivot")).withColumn("d", F.concat(F.array_except("shingles", "base"), F.array_except("base", "shingles")))
+    apart = materialise(apart.select("id", "component", "cluster", F.size("shingles").alias("n"), F.size("d").alias("size"), "d"), "apart")
+    each = apart.select("id", "component", "cluster", "n", "size", F.explode("d").alias("shingle"))
+    near = _prefix(each, ["cluster", "shingle"], F.floor(F.col("n") * (q - p) / p) + 1)
+    columns = ["id", "component", "cluster", "n", "size", "shingle", "rank"]
+    # A pair whose differences are small enough together need share nothing: rank 0 stands for that.
+    whole = apart.where(F.col("size") * p <= F.col("n") * (q - p)).withColumns({"shingle": F.lit(0).cast("long"), "rank": F.lit(0)})
+    table = materialise(near.select(*columns).unionAll(whole.select(*columns)), "differences")
+    side = lambda x: table.select(*[F.col(c).alias(f"{c}_{x}") for c in columns])
+    excess = (F.col("size_a") + F.col("size_b")) * (q + p) - (F.col("n_a") + F.col("n_b")) * (q - p)
+    shared = F.ceil(excess / (2 * (q + p)))
+    keyed = (F.col("rank_a") > 0) & (shared > 0) & (F.col("rank_a") <= F.col("size_a") - shared + 1) & (F.col("rank_b") <= F.col("size_b") - shared + 1)
+    free = (F.col("rank_a") == 0) & (shared <= 0)
+    same = (F.col("cluster_a") == F.col("cluster_b")) & (F.col("shingle_a") == F.col("shingle_b")) & ((F.col("rank_a") == 0) == (F.col("rank_b") == 0))
+    alike = F.least("n_a", "n_b") * q >= F.greatest("n_a", "n_b") * p
+    on = same & (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & alike & (keyed | free)
+    return side("a").join(side("b"), on).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
 def _pairs_within(rows: DataFrame) -> DataFrame:
@@ -220,7 +253,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not open_.isEmpty():
         few = _pairs_within(open_.where(F.col("size") <= small_group))
         large = open_.where(F.col("size") > small_group).select("id", "component")
-        found, _ = merge(few if large.isEmpty() else few.unionAll(_rare_pairs(large, sets, limit)), left)
+        if large.isEmpty():
+            found, _ = merge(few, left)
+        else:
+            rare = materialise(_other(_rare(large, sets, limit)), "open")
+            found, now = merge(few.unionAll(_pairs_within(rare.where(F.col("size") <= small_group))), rare.where(F.col("size") > small_group))
+            now = materialise(_other(now), "open")
+            if not now.isEmpty():
+                # Groups that share texts make a cluster; its least text is compared with all others first.
+                clusters = components(now.select("id", "first"), "id", "first").withColumnRenamed("component", "cluster")
+                stars = clusters.where("id <> cluster").select(F.col("cluster").alias("a"), F.col("id").alias("b"))
+                tied = now.select("id", "component").distinct().join(clusters, "id")
+                found, tied = merge(stars, tied.withColumnRenamed("cluster", "key"))
+                found, _ = merge(_difference_pairs(tied.withColumnRenamed("key", "cluster"), sets, limit), left)
     found = found.withColumnRenamed("id", "rep_c")
     linked = members.join(found, F.col("rep") == F.col("rep_c"), "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     alone = rows.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
