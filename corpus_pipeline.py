@@ -35,13 +35,16 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order that mixes their sources to the target weights."""
+    """All documents, in the order that mixes their sources to the target weights; ``packed`` numbers the sequences along it."""
     return mixing.mixed_rows(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their places in sequences."""
-    return histogram_packing.pack(docs, tokenizer_path())
+    """Pieces of all documents with their places in sequences, which follow the mixed order.
+
+    Files keep no order and stages hand on the columns of ``documents`` only, so the mix is made again from the same rows.
+    """
+    return histogram_packing.pack_mixed(docs, tokenizer_path())
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

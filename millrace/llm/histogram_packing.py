@@ -7,6 +7,9 @@ of a length at once, into the emptiest pack that holds them; a pack stands for a
 The plan maps ranges of ranks within a length to sequences, and pieces get their ranks by counting: a hash spreads each
 length over buckets, so a length that a third of the pieces have meets in no task.
 
+``pack_mixed`` keeps to the order of ``mixing``: that order is cut into windows of ``WINDOW`` sequences' tokens, each window is
+packed on its own, and its sequences are numbered by the places of their first pieces. A task sees one window at a time.
+
 Edge cases: null and empty texts are one end id; texts of any length are cut losslessly; repeated rows are packed as often
 as they stand there; a null doc_id is a document like others; an empty table gives an empty result. Other columns are ignored.
 """
@@ -16,17 +19,23 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.store import materialise
+from millrace.llm import mixing
+from millrace.llm.store import materialise, partitions
 from millrace.llm.tokens import END_ID, WIDTH, document_ids
 
 SIZE = 2048
 #: One document in so many is cut small.
 FILLER_EVERY = 8
+#: Sequences that are packed together where an order is kept.
+WINDOW = 128
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+_CUT = "doc_id long, source string, cuts array<struct<start:long,length:long,ids_crc32:long>>, doc_tokens long"
+_FILLED = "window long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, number long, offset long"
 
 
 def piece_lengths(total: int, size: int, small: bool) -> list[int]:
@@ -113,3 +122,77 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     on = (F.col("length") == F.col("length_p")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
     joined = ranked(found, buckets).join(F.broadcast(placed), on)
     return joined.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("first") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset")
+
+
+def _cuts(docs: DataFrame, path: str, id_col: str, text_col: str, source_col: str, size: int, end_id: int) -> DataFrame:
+    """doc_id, source, cuts, doc_tokens: one row a document, with its pieces."""
+    schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("cuts", pa.list_(pa.struct([(n, pa.int64()) for n in ("start", "length", "ids_crc32")]))), ("doc_tokens", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: list[dict] = []
+            for (doc_id, ids), source in zip(document_ids(iter([batch]), path, end_id), batch.column(2).to_pylist(), strict=True):
+                start, total, cuts = 0, len(ids) // WIDTH, []
+                small = zlib.crc32(f"filler {doc_id}".encode()) % FILLER_EVERY == 0
+                for n in piece_lengths(total, size, small):
+                    cuts.append({"start": start, "length": n, "ids_crc32": zlib.crc32(ids[start * WIDTH : (start + n) * WIDTH])})
+                    start += n
+                held.append({"doc_id": doc_id, "source": source, "cuts": cuts, "doc_tokens": total})
+            yield pa.RecordBatch.from_pylist(held, schema=schema)
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(source_col).cast("string").alias("source")).mapInArrow(run, _CUT)
+
+
+def _tokens_before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the tokens that stand before each piece in its partition."""
+    before = 0
+    for batch in batches:
+        lengths = batch.column("length").to_numpy()
+        ends = before + np.cumsum(lengths)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ends - lengths, pa.int64())], names=[*batch.schema.names, "at"])
+        before = int(ends[-1]) if len(ends) else before
+
+
+def fill(lengths: np.ndarray, at: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
+    """(sequence, offset) of the pieces of a window. Pieces of a length are taken by place, sequences numbered by that of
+    their first piece."""
+    by = np.lexsort((at, lengths))
+    kinds, begins, counts = np.unique(lengths[by], return_index=True, return_counts=True)
+    begin = dict(zip(kinds.tolist(), begins.tolist(), strict=True))
+    sequence, offsets = np.empty(len(by), np.int64), np.empty(len(by), np.int64)
+    for length, lo, hi, first, offset in plan(dict(zip(kinds.tolist(), counts.tolist(), strict=True)), size):
+        rows = by[begin[length] + lo : begin[length] + hi]
+        sequence[rows], offsets[rows] = first + np.arange(hi - lo), offset
+    heads = np.flatnonzero(offsets == 0)
+    heads = heads[np.argsort(at[heads])]
+    number = np.empty(len(heads), np.int64)
+    number[sequence[heads]] = np.arange(len(heads))
+    return number[sequence], offsets
+
+
+def _starts(totals: DataFrame, key: str, kind: str) -> DataFrame:
+    """key_s, before: what the keys before each add up to. ``totals``: one row a key and its ``n``, a small table."""
+    rows, before = [], 0
+    for k, n in sorted(tuple(r) for r in totals.select(key, "n").collect()):
+        rows.append((k, before))
+        before += n
+    return F.broadcast(totals.sparkSession.createDataFrame(rows, f"key_s {kind}, before long"))
+
+
+def pack_mixed(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: int = SIZE, end_id: int = END_ID, window: int = WINDOW, **mix) -> DataFrame:
+    """The columns of ``pack``; sequence ids follow the order of ``mixing.mix`` (with the options ``mix``), window by window."""
+    cut = materialise(_cuts(docs, path, id_col, text_col, source_col, size, end_id), "cuts")
+    placed = mixing.mix(cut, keep=("cuts", "doc_tokens"), **mix).repartitionByRange(partitions(docs.sparkSession), "slot", "source_rank").sortWithinPartitions("slot", "source_rank")
+    found = placed.select(F.spark_partition_id().alias("part"), "doc_id", F.explode("_row.cuts").alias("c"), F.col("_row.doc_tokens").alias("doc_tokens")).select("part", "doc_id", "c.*", "doc_tokens")
+    found = materialise(found.mapInArrow(_tokens_before, "part int, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, at long"), "pieces")
+    at = F.col("at") + F.col("before")
+    found = found.join(_starts(found.groupBy("part").agg(F.sum("length").alias("n")), "part", "int"), F.col("part") == F.col("key_s")).withColumn("at", at).drop("part", "key_s", "before")
+
+    def run(table: pa.Table) -> pa.Table:
+        number, offset = fill(table["length"].to_numpy(), table["at"].to_numpy(), size)
+        return table.drop_columns(["at"]).append_column("number", pa.array(number)).append_column("offset", pa.array(offset))
+
+    windows = found.select(F.floor(F.col("at") / (size * window)).cast("long").alias("window"), "doc_id", "start", "length", "ids_crc32", "doc_tokens", "at")
+    filled = materialise(windows.groupBy("window").applyInArrow(run, _FILLED), "filled")
+    joined = filled.join(_starts(filled.groupBy("window").agg((F.max("number") + 1).alias("n")), "window", "long"), F.col("window") == F.col("key_s"))
+    return joined.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("before") + F.col("number")).alias("sequence_id"), "offset")

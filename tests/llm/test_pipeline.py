@@ -1,6 +1,8 @@
 import importlib.util
+import random
 
 import corpus_pipeline
+from millrace.llm import histogram_packing
 from millrace.llm.store import materialise
 from tests.llm.helpers import docs
 from tests.llm.test_exact_dedup import brute as exact_brute
@@ -8,6 +10,7 @@ from tests.llm.test_minhash_dedup import brute as near_brute
 from tests.llm.test_packing import check_pack
 
 SF = "/root/testdata/sf0.01"
+WORDS = "stone river cloud house paper window garden light winter mountain letter music bread water forest".split()
 
 
 def test_every_stage_equals_brute_force(spark):
@@ -44,3 +47,15 @@ def test_the_entry_has_all_queries():
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
     assert set(entry.oracle_sql()) <= set(names)
     assert importlib.util.find_spec("millrace.llm") is not None
+
+
+def test_the_mix_reaches_the_sequences(spark):
+    # Shares by weight (square roots of 3600 and 400) are 3 to 1 until b runs dry, shares by count 9 to 1.
+    rng = random.Random(3)
+    text = lambda: " ".join(rng.choice(WORDS) for _ in range(rng.randint(150, 350)))
+    sources = ["a"] * 3_600 + ["b"] * 400
+    rows = corpus_pipeline.packed(spark, docs(spark, [text() for _ in sources], sources=sources), SF).collect()
+    assert len({r["doc_id"] for r in rows}) == 4_000
+    first = {r["doc_id"] for r in rows if r["sequence_id"] < histogram_packing.WINDOW}
+    b = sum(sources[i] == "b" for i in first)
+    assert len(first) > 300 and abs(b / len(first) - 0.25) < 0.04
