@@ -5,29 +5,39 @@ start at slot floor(k / w) and must be done by slot ceil((k + 1) / w); of the bl
 deadline gets the slot. So after any number of slots each source is less than one block from its share, for as long as it
 has documents; a source that runs dry leaves its slots empty, and all documents of all sources are kept.
 
-Shares are rounded to whole slots of a period, so the schedule of one period, made on the driver, holds for all. It has
-``period`` rows (at least 8 a source), whatever the number of documents. Documents are ranked within their source by counting
-over hash buckets; no source meets in one task.
+The driver makes the schedule of all blocks from the exact weights, as whole numbers without rounding, so the deviation stays
+below one block however many documents there are. It holds one block a source and writes ``CHUNK`` blocks at a time, in time
+that grows with documents / ``block_docs``. Where ``period`` is given, shares are rounded to whole slots of it and one period's
+schedule is repeated instead. Documents are ranked within their source by counting over hash buckets; no source meets in one task.
 
 Edge cases: a null source is a source of its own; texts and other columns play no part; rows that repeat a doc_id each get a
-place; a null doc_id is dealt like others; an empty table gives an empty result. More than ``MAX_SOURCES`` sources are an error.
+place; a null doc_id is dealt like others; an empty table gives an empty result. More than ``MAX_SOURCES`` sources are an error, as
+are weights that aren't above 0 or are so small that slots don't fit 62 bits.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from collections.abc import Iterator
+from fractions import Fraction
+from functools import reduce
+from itertools import batched
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.ranking import ranked
+from millrace.llm.store import materialise
 
 MAX_SOURCES = 50_000
 BLOCK_DOCS = 16
-PERIOD = 1000
+#: Blocks of the schedule that the driver holds at once.
+CHUNK = 1 << 18
 #: Target shares are the sources' counts to this power, where no weights are given.
 TEMPERATURE = 0.5
-_SLOT = "key_s string, share int, k_s int, slot_s long, release_s long, deadline_s long"
+_SLOT = pa.schema([("key_s", pa.string()), ("k_s", pa.int64()), ("slot_s", pa.int64()), ("release_s", pa.int64()), ("deadline_s", pa.int64())])
 
 
 def slots_of(weights: dict[str, float], period: int) -> dict[str, int]:
@@ -55,7 +65,33 @@ def schedule(shares: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
     return out
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_docs: int = BLOCK_DOCS, period: int = PERIOD, keep: tuple[str, ...] = ()) -> DataFrame:
+def schedule_all(weights: dict[str, float], blocks: dict[str, int]) -> Iterator[tuple[str, int, int, int, int]]:
+    """(source, block, slot, release, deadline) of all blocks, by slot, with windows of the exact weights."""
+    if not all(w > 0 and math.isfinite(w) for w in weights.values()):
+        raise ValueError("weights must be above 0")
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    scale = math.lcm(*(x.denominator for x in exact.values()))
+    whole = {s: x.numerator * (scale // x.denominator) for s, x in exact.items()}
+    total = sum(whole.values())
+    if any(-(-blocks[s] * total // n) >= 1 << 62 for s, n in whole.items()):
+        raise ValueError("a weight is too small for its source's documents")
+    # One block a source, the next one, waits for its release or is ready.
+    ready, waiting, slot = [(-(-total // n), s, 0, 0) for s, n in whole.items() if blocks[s]], [], 0
+    heapq.heapify(ready)
+    while ready or waiting:
+        if not ready:
+            slot = max(slot, waiting[0][0])
+        while waiting and waiting[0][0] <= slot:
+            release, s, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(k + 1) * total // whole[s]), s, k, release))
+        deadline, s, k, release = heapq.heappop(ready)
+        yield s, k, slot, release, deadline
+        slot += 1
+        if k + 1 < blocks[s]:
+            heapq.heappush(waiting, ((k + 1) * total // whole[s], s, k + 1))
+
+
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_docs: int = BLOCK_DOCS, period: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, source_rank, block, release, deadline, slot (and the struct ``_row`` of columns to keep).
 
     In the order of slot and source_rank the sources are mixed to their weights. ``weights``: by source; those it doesn't name
@@ -72,14 +108,18 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col:
         targets = {s: named.get(s, min(named.values())) for s in counts}
     else:
         targets = {s: n**TEMPERATURE for s, n in counts.items()}
-    shares = slots_of(targets, max(period, 8 * len(counts))) if counts else {}
-    table = spark.createDataFrame([(s, shares[s], k, slot, release, deadline) for s, k, slot, release, deadline in schedule(shares)], _SLOT)
+    shares = slots_of(targets, max(period, 8 * len(counts))) if period and counts else {}
+    span = sum(shares.values())
+    blocks = {s: -(-n // block_docs) for s, n in counts.items()}
+    rows_of = schedule(shares) if period else schedule_all(targets, blocks)
+    chunks = [materialise(spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), _SLOT, strict=True)], schema=_SLOT)), "slots") for part in batched(rows_of, CHUNK)]
+    table = reduce(DataFrame.unionAll, chunks) if chunks else spark.createDataFrame([], "key_s string, k_s long, slot_s long, release_s long, deadline_s long")
     placed = ranked(rows, "_key", ["doc_id"], ["doc_id"], max(64, sum(counts.values()) // 20_000), "source_rank")
-    sizes = spark.createDataFrame(sorted(shares.items()), "key_n string, n int")
-    # Both tables have at most the period's rows.
+    # The block's number within the schedule: all of them, or one period's share.
+    sizes = spark.createDataFrame(sorted((shares or blocks).items()), "key_n string, n long")
     placed = placed.join(F.broadcast(sizes), F.col("_key") == F.col("key_n")).withColumn("block", F.floor(F.col("source_rank") / block_docs))
-    placed = placed.withColumn("k", (F.col("block") % F.col("n")).cast("int")).withColumn("_past", F.floor(F.col("block") / F.col("n")) * sum(shares.values()))
-    made = placed.join(F.broadcast(table), (F.col("_key") == F.col("key_s")) & (F.col("k") == F.col("k_s")))
+    placed = placed.withColumn("k", F.col("block") % F.col("n")).withColumn("_past", F.floor(F.col("block") / F.col("n")) * span)
+    made = placed.join(table, (F.col("_key") == F.col("key_s")) & (F.col("k") == F.col("k_s")))
     late = lambda c: (F.col("_past") + F.col(f"{c}_s")).cast("long").alias(c)
     return made.select("doc_id", "source", "source_rank", F.col("block").cast("long").alias("block"), late("release"), late("deadline"), late("slot"), *(["_row"] if keep else []))
 

@@ -52,3 +52,29 @@ def test_rows_come_in_order_and_whole(spark):
     head = Counter(r["source"] for r in rows[:32])
     assert abs(head["a"] - 24) <= 2
     assert mixing.mix(docs(spark, [])).count() == 0 and mixing.mixed_rows(docs(spark, [])).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.floats(1e-3, 10), st.integers(0, 60)), min_size=1, max_size=12))
+def test_exact_weights_keep_within_a_block(given):
+    weights = {f"s{i:02}": w for i, (w, _) in enumerate(given)}
+    blocks = {f"s{i:02}": n for i, (_, n) in enumerate(given)}
+    total, done, last = sum(Fraction(w) for w in weights.values()), Counter(), -1
+    for source, k, slot, release, deadline in mixing.schedule_all(weights, blocks):
+        share = Fraction(weights[source]) / total
+        assert k == done[source] and last < slot and release <= slot < deadline and release == k // share
+        last, done[source] = slot, k + 1
+        assert all(done[s] == n or abs(done[s] - (slot + 1) * Fraction(weights[s]) / total) < 1 for s, n in blocks.items())
+    assert done == Counter({s: n for s, n in blocks.items() if n})
+
+
+def test_deviation_does_not_grow_over_many_periods(spark):
+    # Rounded to a period of 1000 slots, the hot source fell behind by a block every few periods.
+    counts = {"s00": 9_500, **{f"s{i:02}": 1_000 for i in range(1, 20)}}
+    d = docs(spark, [None] * sum(counts.values()), sources=[s for s, n in counts.items() for _ in range(n)])
+    blocks = sorted((r["slot"], r["source"]) for r in mixing.mix(d, block_docs=1).collect())
+    total, done = sum(n**0.5 for n in counts.values()), Counter()
+    for slot, source in blocks:
+        done[source] += 1
+        assert all(done[s] == n or abs(done[s] - (slot + 1) * n**0.5 / total) < 1 + 1e-6 for s, n in (("s00", counts["s00"]), (source, counts[source])))
+    assert done == Counter(counts)
