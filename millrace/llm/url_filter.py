@@ -2,8 +2,10 @@
 
 A rule allows or blocks a host with all its subdomains under a path; the longest rule that fits decides. For other urls,
 trust spreads from the hosts whose pages rules allow along the links between hosts (personalised PageRank), and distrust from
-those whose pages rules block along the reversed links: a host that links to bad hosts is suspect. A host is blocked if its
-distrust exceeds its trust and reaches ``least_distrust``.
+those whose pages rules block along the reversed links: a host that links to bad hosts is suspect. Distrust is divided among all
+that link to a bad host, so it says nothing of how bad one of them is; the verdict goes by blame, the same walk with each host
+taking the mean of its own links: what others link to doesn't lessen it. A host is blocked if its blame exceeds its trust and
+reaches ``least_distrust``.
 
 Hosts and links are aggregated tables that stay in Spark; each few rounds they are written to the shared folder. With no
 link between hosts the seeds are the scores, and no round runs.
@@ -70,15 +72,17 @@ def host_links(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
 
 
 def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """host, trust, distrust. ``seeds``: host, trust, distrust, each 0 to 1. Both kinds spread in the same rounds, as rows of
-    one table."""
-    kinds = lambda df: df.select("host", F.explode(F.array(F.struct(F.lit("t").alias("kind"), F.col("trust").alias("seed")), F.struct(F.lit("d").alias("kind"), F.col("distrust").alias("seed")))).alias("x")).select("host", "x.*")
+    """host, trust, distrust, blame. ``seeds``: host, trust, distrust (that of blame, too), each 0 to 1. All kinds spread in the
+    same rounds, as rows of one table."""
+    kinds = lambda df: df.select("host", F.explode(F.array(F.struct(F.lit("t").alias("kind"), F.col("trust").alias("seed")), *(F.struct(F.lit(k).alias("kind"), F.col("distrust").alias("seed")) for k in "db"))).alias("x")).select("host", "x.*")
     seeded = kinds(seeds)
     links = materialise(links, "links")
     if not links.isEmpty():
-        both = links.select(F.lit("t").alias("kind"), "source", "target", "n").unionAll(links.select(F.lit("d"), F.col("target"), F.col("source"), "n"))
-        out = both.groupBy("kind", "source").agg(F.sum("n").alias("out"))
-        edges = materialise(both.join(out, ["kind", "source"]).select("kind", "source", "target", (F.col("n") / F.col("out")).alias("w")), "edges")
+        # by: the host whose links add up to 1.
+        way = lambda kind, source, target, by: links.select(F.lit(kind).alias("kind"), F.col(source).alias("source"), F.col(target).alias("target"), "n", F.col(by).alias("by"))
+        both = way("t", "source", "target", "source").unionAll(way("d", "target", "source", "target")).unionAll(way("b", "target", "source", "source"))
+        out = both.groupBy("kind", "by").agg(F.sum("n").alias("out"))
+        edges = materialise(both.join(out, ["kind", "by"]).select("kind", "source", "target", (F.col("n") / F.col("out")).alias("w")), "edges")
         hosts = edges.select(F.col("target").alias("host"), "kind").distinct()
         base = materialise(seeded.join(hosts, ["host", "kind"], "full").select("host", "kind", F.coalesce("seed", F.lit(0.0)).alias("seed")), "seeds")
         scores = base.select("host", "kind", (F.col("seed") * (1 - damping)).alias("score"))
@@ -90,7 +94,7 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
     else:
         scores = seeded.select("host", "kind", (F.col("seed") * (1 - damping)).alias("score"))
     of = lambda kind: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0))
-    return scores.groupBy("host").agg(of("t").alias("trust"), of("d").alias("distrust"))
+    return scores.groupBy("host").agg(of("t").alias("trust"), of("d").alias("distrust"), of("b").alias("blame"))
 
 
 def filter_urls(pages: DataFrame, rules: list[UrlRule] | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_distrust: float = LEAST_DISTRUST, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
@@ -100,7 +104,7 @@ def filter_urls(pages: DataFrame, rules: list[UrlRule] | None = None, id_col: st
     seeds = judged.groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
     # Written, so that the join below deals both sides out anew and the pages of a large host can be split.
     hosts = materialise(propagate(host_links(pages, url_col, html_col), seeds, damping, rounds), "hosts")
-    bad = (F.col("distrust") > F.col("trust")) & (F.col("distrust") >= least_distrust)
+    bad = (F.col("blame") > F.col("trust")) & (F.col("blame") >= least_distrust)
     verdict = F.coalesce("action", F.when(bad, "block").otherwise("allow"))
     joined = judged.join(hosts.withColumnRenamed("host", "host_h"), F.col("host") == F.col("host_h"), "left")
     return joined.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "trust", "distrust")

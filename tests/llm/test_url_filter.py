@@ -41,3 +41,11 @@ def test_links_spread_blame(spark):
     assert got == {0: "block", 1: "allow", 2: "allow", 3: "allow", 4: "block", 5: "block"}
     assert filter_urls(spark.createDataFrame([], PAGES)).count() == 0
     assert filter_urls(spark.createDataFrame(rows, PAGES).selectExpr("*", "1 as host", "2 as rule", "3 as trust")).count() == 6
+
+
+def test_blame_does_not_thin_out_among_many_linkers(spark):
+    farm = [(i, f"https://farm{i}.org/x", "<a href='//spam.net/'>") for i in range(50)]
+    mostly_good = (50, "https://paper.org/x", "<a href='//spam.net/'>" + "".join(f"<a href='//site{k}.org/'>" for k in range(9)))
+    rows = [*farm, mostly_good, (51, "https://spam.net/es/1", None)]
+    got = {r["page_id"]: r["verdict"] for r in filter_urls(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {**dict.fromkeys(range(50), "block"), 50: "allow", 51: "block"}
