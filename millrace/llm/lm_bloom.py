@@ -7,7 +7,7 @@ level back, with one-sided errors only. A word's probability is its smoothed cou
     p(w | v) = L * min(c(vw), c(v)) / c(v) + (1 - L) * (c(w) + 0.5) / (sum of c + 0.5 * (V + 1))
 
 where c is the level's middle and L is ``WEIGHT``; a pair that is too frequent for its words, as chance hits are, counts as
-its rarer word allows. Pairs seen once aren't held: ``PAIR_LEAST`` is part of the model at every size of corpus.
+its rarer word allows. All pairs are held, those seen once at level 1; after a word that training lacks, L is 0.
 
 The filter has ``BITS_PER_ENTRY`` bits an entry, so it grows with the corpus. Its blocks are built where their entries meet. It
 is broadcast whole up to ``MAX_BROADCAST`` bytes; a larger one is broadcast in that many slices, one pass over the documents
@@ -36,12 +36,13 @@ from millrace.llm.store import materialise
 from millrace.llm.text import SPACE, ascii_lower, text_or_empty
 
 WEIGHT = 0.3
-PAIR_LEAST = 2
 BITS_PER_ENTRY, PROBES = 12, 4
 #: Bits of a block, in which all probes of an n-gram stay.
 BLOCK = 1 << 19
 MAX_BROADCAST = 256 << 20
 HEAD_WORDS, HEAD_CHARS = 1 << 17, 64
+#: Entries that are set in the filter's blocks at once.
+_ENTER_AT = 1 << 18
 _U = np.uint64
 _A = _U(0xD6E8FEB86659FD93)
 #: Hashes of the end token and of what stands before a text's first token.
@@ -142,21 +143,36 @@ def build(entries: DataFrame, blocks: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, np.ndarray] = {}
-        for batch in batches:
-            keys, levels, block = batch.column(0).to_numpy().view(_U), batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            for b in np.unique(block):
-                bits = made.setdefault(int(b), np.zeros(BLOCK // 8, np.uint8))
-                mine, own = keys[block == b], levels[block == b]
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def enter() -> None:
+            keys, levels = (np.concatenate(x) for x in zip(*held, strict=True))
+            block = _block(keys, blocks)
+            order = np.argsort(block, kind="stable")
+            begins = np.flatnonzero(np.diff(block[order], prepend=-1))
+            for mine in np.split(order, begins[1:]):
+                keys_b, own, bits = keys[mine], levels[mine], np.zeros(BLOCK, bool)
                 for level in range(1, int(own.max()) + 1):
+                    keys_b, own = keys_b[own >= level], own[own >= level]
                     for probe in range(PROBES):
-                        bit = _place(mine[own >= level], level, probe)
-                        np.bitwise_or.at(bits, bit >> 3, np.left_shift(1, bit & 7).astype(np.uint8))
+                        bits[_place(keys_b, level, probe)] = True
+                b = int(block[mine[0]])
+                made[b] = made.get(b, 0) | np.packbits(bits, bitorder="little")
+            held.clear()
+
+        for batch in batches:
+            if len(batch):
+                held.append((batch.column(0).to_numpy().view(_U), batch.column(1).to_numpy()))
+            if sum(len(k) for k, _ in held) >= _ENTER_AT:
+                enter()
+        if held:
+            enter()
         for b in sorted(made):
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([made[b].tobytes()], pa.binary())], names=["block", "bits"])
 
     block = F.shiftrightunsigned("h", 32) % blocks
     parts = max(1, min(blocks, int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    return entries.withColumn("block", block).repartition(parts, "block").mapInArrow(run, "block long, bits binary")
+    return entries.repartition(parts, block).mapInArrow(run, "block long, bits binary")
 
 
 class Score(NamedTuple):
@@ -222,7 +238,7 @@ def probabilities(words: np.ndarray, pairs: np.ndarray, first: np.ndarray, total
     alone = (level_middle(words.astype(np.float64)) + 0.5) / total
     history = level_middle(before.astype(np.float64))
     share = np.minimum(level_middle(capped.astype(np.float64)), history) / np.maximum(history, 1)
-    held = np.where(before >= PAIR_LEAST, WEIGHT, 0.0)
+    held = np.where(before > 0, WEIGHT, 0.0)
     return held * share + (1 - held) * alone
 
 
@@ -246,8 +262,7 @@ def train(texts: DataFrame) -> Model:
     """A model of a table with the one column ``text`` (not null)."""
     counts = materialise(texts.select(F.explode(tokens_of(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("c")), "counts")
     level = (F.floor(F.log2("c")) + 1).cast("int")
-    pairs = pair_counts(texts).where(F.col("c") >= PAIR_LEAST)
-    entries = materialise(word_hashes(counts).unionAll(pairs).select("h", level.alias("level")), "entries")
+    entries = materialise(word_hashes(counts).unionAll(pair_counts(texts)).select("h", level.alias("level")), "entries", "snappy")
     size = entries.agg(F.sum("level").alias("n")).first()["n"] or 0
     blocks = max(1, -(-size * BITS_PER_ENTRY // BLOCK))
     middles = F.sum((F.pow(2.0, level - 1) + F.pow(2.0, level) - 1) / 2)

@@ -85,3 +85,11 @@ def test_empty(spark):
     assert lm_bloom.train_and_score(docs(spark, []), F.lit(True)).count() == 0
     r = lm_bloom.train_and_score(docs(spark, ["a b"]).selectExpr("*", "1 as c", "2 as token"), F.lit(False)).first()
     assert (r["n_tokens"], r["n_known"], r["base_score"], r["score"]) == (3, 0, 0, 0)
+
+
+def test_pairs_seen_once_are_evidence(spark):
+    # Trained on "a b" and "c d": words seen once each, the end twice (middle 2.5).
+    d = docs(spark, ["a b", "c d", "a b", "a d"])
+    got = {r["doc_id"]: r["score"] for r in lm_bloom.train_and_score(d, F.col("doc_id") < 2).collect()}
+    alone = 1.5 / (4 + 2.5 + 0.5 * 6)
+    assert close(got[2] - got[3], math.log10((0.3 + 0.7 * alone) / (0.7 * alone)))
