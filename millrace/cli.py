@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 import argparse
+import json
+import sys
 
+from pyspark.sql import SparkSession
+
+from millrace.metrics import phases
 from millrace.plans import programs
 from millrace.session import session
 
@@ -12,6 +17,9 @@ def main(argv: list[str] | None = None) -> None:
     top = argparse.ArgumentParser(prog="millrace")
     top.add_argument("--master")
     top.add_argument("--reducers", type=int)
+    top.add_argument("--threads", type=int)
+    top.add_argument("--log-level", default="WARN")
+    top.add_argument("--stats", action="store_true", help="a JSON line on stderr for each stage that ran")
     sub = top.add_subparsers(dest="program", required=True)
     for name in ("wordcount", "wordcount-parquet", "sort-tsv"):
         p = sub.add_parser(name)
@@ -20,6 +28,8 @@ def main(argv: list[str] | None = None) -> None:
         p = sub.add_parser(name)
         p.add_argument("--searches", required=True)
         p.add_argument("--pages", required=True)
+    p.add_argument("--stage", help="folder of a table of the joined rows, between the two steps")
+    p.add_argument("--keep-stage", action="store_true")
     for p in sub.choices.values():
         p.add_argument("--single", action="store_true", help="one sorted part")
     p = sub.add_parser("ranking-pairs")
@@ -33,7 +43,15 @@ def main(argv: list[str] | None = None) -> None:
     for p in sub.choices.values():
         p.add_argument("--output", required=True)
     a = top.parse_args(argv)
-    spark = session(master=a.master, reducers=a.reducers)
+    spark = session(master=a.master, reducers=a.reducers, threads=a.threads, log_level=a.log_level)
+    ran: list[dict] = []
+    with phases(spark, ran):
+        _run(spark, a)
+    for stage in ran if a.stats else []:
+        print(json.dumps(stage), file=sys.stderr)
+
+
+def _run(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.program == "wordcount":
         programs.wordcount_text(spark, a.input, a.output, single=a.single)
     elif a.program == "wordcount-parquet":
@@ -43,7 +61,7 @@ def main(argv: list[str] | None = None) -> None:
     elif a.program == "join":
         programs.join(spark, a.searches, a.pages, a.output, single=a.single)
     elif a.program == "join-nested":
-        programs.join_nested(spark, a.searches, a.pages, a.output, single=a.single)
+        programs.join_nested(spark, a.searches, a.pages, a.output, single=a.single, stage=a.stage, keep=a.keep_stage)
     else:
         programs.ranking_pairs(spark, a.input, a.output, a.doc_input, a.body_colname, a.max_positive_position, a.min_negative_position, a.num_negatives, a.seed)
 

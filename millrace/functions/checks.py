@@ -22,3 +22,9 @@ def within(df: DataFrame, name: str, least: int, most: int) -> DataFrame:
 
 def non_empty(c: Column) -> Column:
     return c.isNotNull() & (F.length(c) > 0)
+
+
+def int32(c: Column) -> Column:
+    """A bigint as int; a value that doesn't fit fails the job."""
+    bad = F.raise_error(F.concat(F.lit("out of the range of int: "), c.cast("string")))
+    return F.when(c.between(-(2**31), 2**31 - 1), c).otherwise(F.when(c.isNull(), F.lit(None)).otherwise(bad)).cast("int")

@@ -51,10 +51,17 @@ def join(spark: SparkSession, searches: str, pages: str, out: str, single: bool
     sinks.write_text(lines.orderBy("value").coalesce(1) if single else lines, out, inputs=[searches, pages])
 
 
-def join_nested(spark: SparkSession, searches: str, pages: str, out: str, single: bool = False) -> None:
-    nested = nest(joined(spark, searches, pages), ["query"], ["page_uuid", "position", "body"], "docs")
+def join_nested(spark: SparkSession, searches: str, pages: str, out: str, single: bool = False, stage: str | None = None, keep: bool = False) -> None:
+    """One plan. With ``stage``, the joined rows are written there as Parquet first, and go in the end unless ``keep``."""
+    rows = joined(spark, searches, pages)
+    if stage:
+        sinks.write_parquet(rows, stage, inputs=[searches, pages])
+        rows = parquet_rows(spark, stage).select(*_JOINED)
+    nested = nest(rows, ["query"], ["page_uuid", "position", "body"], "docs")
     lines = nested.select(sinks.json_line(nested, "query", "docs").alias("value"))
-    sinks.write_text(lines.orderBy("value").coalesce(1) if single else lines, out, inputs=[searches, pages])
+    sinks.write_text(lines.orderBy("value").coalesce(1) if single else lines, out, inputs=[searches, pages, *([stage] if stage else [])])
+    if stage and not keep:
+        sinks.remove(spark, stage)
 
 
 def ranking_pairs(spark: SparkSession, inputs: str | list[str], out: str, docs: str | None = None, body: str = "body_full", max_positive: int = 3, min_negative: int = 4, negatives: int = 4, seed: str = "0") -> None:

@@ -2,27 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
+import json
 import uuid as _uuid
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace import sinks
-from millrace.functions.checks import non_empty, required, within
-from millrace.functions.keys import partition_number, uuid
+from millrace import plugins, sinks
+from millrace.functions.checks import int32, non_empty, required, within
+from millrace.functions.keys import length_first, partition_number, uuid
 from millrace.functions.tokens import quoted_tsv, tokens
 from millrace.operators.counting import grouped, word_count
 from millrace.operators.lookup import lookup_join
 from millrace.operators.mapreduce import Pipeline
 from millrace.operators.nesting import nest
 from millrace.operators.pairs import sample_pairs, sample_pairs_joined
-from millrace.operators.sorting import first_per_group, sort_by_key
+from millrace.operators.sorting import first_per_group, sort_by_key, sort_parts
+from millrace.plans import programs
+from millrace.session import shared_dir
 from millrace.sources.jsonl import json_lines
 from millrace.sources.parquet import normalised, parquet_rows
 from millrace.sources.records import binary_records
-from millrace.sources.text import text_lines
+from millrace.sources.text import text_lines, tsv_pairs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,9 +46,8 @@ def _table(spark: SparkSession, d: str, name: str, *columns: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A new folder's path in the shared folder of the cluster, or in a temporary one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{base or tempfile.mkdtemp(prefix='millrace-')}/roundtrip-{_uuid.uuid4().hex}"
+    """A new folder's path in the shared folder."""
+    return f"{shared_dir(spark)}/roundtrip-{_uuid.uuid4().hex}"
 
 
 _WORDS = "SELECT lower(w) AS word{1} FROM (SELECT unnest(regexp_extract_all({0}, '[A-Za-z0-9_'']+')) AS w{1} FROM {2})"
@@ -172,11 +173,13 @@ def join_then_nest(spark: SparkSession, d: str) -> DataFrame:
     return nest(full, ["l_orderkey"], ["l_partkey", "l_linenumber", "p_name"], "docs").withColumn("docs", F.to_json("docs"))
 
 
-@_query("SELECT l_orderkey, count(*) FILTER (l_linenumber <= 3) AS pos, count(*) FILTER (l_linenumber > 3 AND l_linenumber >= 4) AS neg FROM lineitem GROUP BY 1")
+@_query("SELECT l_orderkey, coalesce(string_agg(l_partkey::varchar, ',' ORDER BY l_partkey) FILTER (l_linenumber <= 3), '') AS pos, coalesce(string_agg(l_partkey::varchar, ',' ORDER BY l_partkey) FILTER (l_linenumber >= 4), '') AS neg FROM lineitem GROUP BY 1")
 def group_split_pos_neg(spark: SparkSession, d: str) -> DataFrame:
-    pos, at = F.col("l_linenumber") <= 3, F.col("l_linenumber")
-    sides = grouped(_table(spark, d, "lineitem", "l_orderkey", "l_linenumber"), ["l_orderkey"], pos=F.collect_list(F.when(pos, at)), neg=F.collect_list(F.when(~pos & (at >= 4), at)))
-    return sides.select("l_orderkey", F.size("pos").cast("bigint").alias("pos"), F.size("neg").cast("bigint").alias("neg"))
+    pos, key = F.col("l_linenumber") <= 3, F.col("l_partkey")
+    rows = _table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey")
+    sides = grouped(rows, ["l_orderkey"], pos=F.collect_list(F.when(pos, key)), neg=F.collect_list(F.when(~pos & (F.col("l_linenumber") >= 4), key)))
+    joined = lambda c: F.array_join(F.sort_array(c).cast("array<string>"), ",")
+    return sides.select("l_orderkey", joined("pos").alias("pos"), joined("neg").alias("neg"))
 
 
 @_query("SELECT o_custkey, arg_min(o_orderpriority, (o_orderkey, o_orderpriority)) AS priority FROM orders GROUP BY 1")
@@ -247,7 +250,11 @@ def uuid_normalise(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "orders", "o_orderkey").select("o_orderkey", uuid(form).alias("uuid"))
 
 
-@_query()
+#: crc32 of a key's digits: each digit is followed by eight shifts.
+_CRC32 = "xor(list_reduce(list_concat([4294967295::bigint], flatten(list_transform(string_split(({0})::varchar, ''), lambda c: [ascii(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295)"
+
+
+@_query(f"SELECT part, count(*) AS n FROM (SELECT ({_CRC32.format('o_orderkey')} % 16)::int AS part FROM orders) GROUP BY 1")
 def hash_partition_sizes(spark: SparkSession, d: str) -> DataFrame:
     return grouped(_table(spark, d, "orders", "o_orderkey").select(partition_number(F.col("o_orderkey"), 16).alias("part")), ["part"], n=F.count("*"))
 
@@ -306,3 +313,191 @@ def parquet_sink_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     schema = {"l_orderkey": "int64", "l_linenumber": "int64", "quantity": "double", "absent": "string", "shipped": "timestamp_micros"}
     sinks.write_parquet(rows, out, schema, plain_micros=True)
     return normalised(parquet_rows(spark, out))
+
+
+@_query("SELECT l_orderkey::int AS l_orderkey, l_linenumber FROM lineitem")
+def cast_int32(spark: SparkSession, d: str) -> DataFrame:
+    rows = _table(spark, d, "lineitem", "l_orderkey", "l_linenumber")
+    return rows.select(int32(F.col("l_orderkey").cast("bigint")).alias("l_orderkey"), "l_linenumber")
+
+
+@_query("SELECT p_name, row_number() OVER (ORDER BY strlen(p_name), p_name, p_partkey) AS place FROM part")
+def length_first_order(spark: SparkSession, d: str) -> DataFrame:
+    """The order of length-prefixed keys, as places."""
+    place = F.row_number().over(Window.orderBy(*length_first(F.col("p_name")), "p_partkey"))
+    return _table(spark, d, "part", "p_name", "p_partkey").select("p_name", place.cast("bigint").alias("place"))
+
+
+@_query("SELECT count(*) AS n, 0::bigint AS out_of_order, 0::bigint AS split_keys FROM orders")
+def sorted_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Partitions sorted by key: how many rows stand before a lesser key, and how many keys are in several partitions."""
+    rows = sort_parts(_table(spark, d, "orders", "o_custkey", "o_orderkey"), "o_custkey", 16).select("o_custkey", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
+    before = rows.withColumn("before", F.lag("o_custkey").over(Window.partitionBy("part").orderBy("at")))
+    bad = before.groupBy("o_custkey").agg(F.count("*").alias("n"), F.count(F.when(F.col("before") > F.col("o_custkey"), 1)).alias("bad"), F.count_distinct("part").alias("parts"))
+    return bad.agg(F.sum("n").alias("n"), F.sum("bad").alias("out_of_order"), F.count(F.when(F.col("parts") > 1, 1)).alias("split_keys"))
+
+
+@_query("SELECT event_id, event_type FROM events WHERE event_id % 7 <> 0 AND event_id % 5 <> 0")
+def jsonl_lenient(spark: SparkSession, d: str) -> DataFrame:
+    """Broken lines and lines without a needed field are skipped."""
+    out, rows = _scratch(spark), _table(spark, d, "events", "event_id", "event_type")
+    whole = sinks.json_line(rows, "event_id", "event_type")
+    broken = F.concat(F.lit("{"), whole)
+    sinks.write_text(rows.select(F.when(F.col("event_id") % 7 == 0, broken).when(F.col("event_id") % 5 == 0, F.lit('{"event_type":"x"}')).otherwise(whole).alias("value")), out)
+    return json_lines(spark, out, "event_id BIGINT, event_type STRING", lenient=True)
+
+
+@_query("SELECT CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE c_name || chr(9) || c_mktsegment || chr(9) || c_custkey END AS line, c_name AS key, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment || chr(9) || c_custkey END AS value FROM customer WHERE c_custkey % 4 <> 0")
+def tsv_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The key ends at the first tab, a line without one is all key, blank lines go."""
+    out, rows = _scratch(spark), _table(spark, d, "customer", "c_custkey", "c_name", "c_mktsegment")
+    full = F.concat_ws("\t", "c_name", "c_mktsegment", F.col("c_custkey").cast("string"))
+    sinks.write_text(rows.select(F.when(F.col("c_custkey") % 4 == 0, "").when(F.col("c_custkey") % 3 == 0, F.col("c_name")).otherwise(full).alias("value")), out)
+    return tsv_pairs(spark, out)
+
+
+@_query("SELECT n_name AS value FROM nation")
+def overwritten_output(spark: SparkSession, d: str) -> DataFrame:
+    """A second job's output replaces the first's, and readers tolerate parts without rows."""
+    out = _scratch(spark)
+    sinks.write_text(_table(spark, d, "customer", "c_name"), out, line="c_name")
+    sinks.write_text(_table(spark, d, "nation", "n_name").repartition(64), out, line="n_name")
+    return text_lines(spark, out)
+
+
+def _json_records(content: bytes) -> Iterator[tuple]:
+    for line in content.splitlines():
+        row = json.loads(line)
+        yield row["key"], row["name"]
+
+
+def _json_part(folder: str, number: int):  # noqa: ANN202
+    held: list[tuple] = []
+
+    def put(row: tuple | None) -> None:
+        from pyarrow import fs
+
+        if row is not None:
+            held.append(row)
+            return
+        files, top = fs.FileSystem.from_uri(folder)
+        files.create_dir(top, recursive=True)
+        with files.open_output_stream(f"{top}/part-{number:05d}.jsonl") as out:
+            out.write("".join(json.dumps({"key": k, "name": n}) + "\n" for k, n in held).encode())
+
+    return put
+
+
+@_query("SELECT s_suppkey AS key, s_name AS name FROM supplier")
+def plugged_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Out through a sink of one's own, in through a format of one's own."""
+    out = _scratch(spark)
+    out = out if "://" in out else f"file://{out.removeprefix('file:')}"
+    rows = _table(spark, d, "supplier", "s_suppkey", "s_name").select(F.col("s_suppkey").cast("bigint").alias("key"), F.col("s_name").alias("name"))
+    plugins.write(rows, out, "json_parts", _json_part)
+    plugins.register_format("json_records", _json_records, "key bigint, name string")
+    return plugins.read(spark, out, "json_records")
+
+
+@_query(f"SELECT '\"' || word || '\"' || chr(9) || count(*)::varchar AS line FROM ({_words('p_name', 'part')}) GROUP BY word")
+def program_wordcount(spark: SparkSession, d: str) -> DataFrame:
+    lines, out = _scratch(spark), _scratch(spark)
+    sinks.write_text(_table(spark, d, "part", "p_name"), lines, line="p_name")
+    programs.wordcount_text(spark, lines, out)
+    return text_lines(spark, out).withColumnRenamed("value", "line")
+
+
+@_query(f"SELECT count(*) AS count, word FROM ({_words('text', 'documents')}) GROUP BY word")
+def program_wordcount_parquet(spark: SparkSession, d: str) -> DataFrame:
+    out = _scratch(spark)
+    programs.wordcount_parquet(spark, f"{d}/documents.parquet", out, column="text")
+    return parquet_rows(spark, out)
+
+
+_UUID = "regexp_replace(md5({0}::varchar), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5')"
+_FOUND = f"SELECT o_orderpriority AS query, {_UUID.format('c_custkey')} AS page_uuid, o_orderkey % 256 AS position, c_name AS body FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_custkey % 3 <> 0"
+
+
+def _searches_and_pages(spark: SparkSession, d: str) -> tuple[str, str]:
+    """JSON Lines of searches (keys in braces and upper case) and of pages (plain keys; every ninth page twice)."""
+    searches, pages = _scratch(spark), _scratch(spark)
+    digits = lambda c: F.md5(F.col(c).cast("string").cast("binary"))
+    left = _table(spark, d, "orders", "o_custkey", "o_orderkey", "o_orderpriority")
+    left = left.select(F.col("o_orderpriority").alias("query"), F.concat(F.lit("{"), F.upper(digits("o_custkey")), F.lit("}")).alias("page_uuid"), (F.col("o_orderkey") % 256).alias("position"))
+    right = _table(spark, d, "customer", "c_custkey", "c_name").where("c_custkey % 3 <> 0").withColumn("n", F.explode(F.sequence(F.lit(0), F.when(F.col("c_custkey") % 9 == 1, 1).otherwise(0))))
+    right = right.select(digits("c_custkey").alias("page_uuid"), F.when(F.col("n") == 0, F.col("c_name")).otherwise(F.concat("c_name", F.lit(" again"))).alias("body"))
+    sinks.write_json_lines(left, searches)
+    sinks.write_json_lines(right, pages)
+    return searches, pages
+
+
+@_query(f"SELECT to_json({{'query': query, 'page_uuid': page_uuid, 'position': position, 'body': body}})::varchar AS line FROM ({_FOUND})")
+def program_join(spark: SparkSession, d: str) -> DataFrame:
+    out = _scratch(spark)
+    programs.join(spark, *_searches_and_pages(spark, d), out)
+    return text_lines(spark, out).withColumnRenamed("value", "line")
+
+
+@_query(f"SELECT to_json({{'query': query, 'docs': list({{'page_uuid': page_uuid, 'position': position, 'body': body}} ORDER BY page_uuid, position, body)}})::varchar AS line FROM ({_FOUND}) GROUP BY query")
+def program_join_nested(spark: SparkSession, d: str) -> DataFrame:
+    """In two steps, with a table between them that goes in the end."""
+    out = _scratch(spark)
+    programs.join_nested(spark, *_searches_and_pages(spark, d), out, stage=_scratch(spark))
+    return text_lines(spark, out).withColumnRenamed("value", "line")
+
+
+_RANKING = """
+    WITH main AS (
+        SELECT l_orderkey AS qid, l_linenumber AS position, o_orderpriority AS q, o_orderstatus AS country, p_name AS body,
+            CASE WHEN l_linenumber <= 3 THEN 'p' ELSE 'n' END AS side, md5(concat_ws('|', '0', l_linenumber, {tie})) AS draw, {tie} AS tie
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE o_orderstatus <> 'P'
+    ), ranked AS (SELECT *, row_number() OVER (PARTITION BY qid, side ORDER BY draw, body) AS rank FROM main)
+    SELECT to_json({{'neg_doc': coalesce(list(body ORDER BY rank) FILTER (side = 'n' AND rank <= 4), []), 'pos_doc': max(body) FILTER (side = 'p' AND rank = 1),
+        'query': arg_min(q || chr(10) || country, (position, tie))}})::varchar AS line
+    FROM ranked GROUP BY qid HAVING count(*) FILTER (side = 'p') > 0
+"""
+
+
+def _ranking_inputs(spark: SparkSession, d: str, bodies: bool) -> tuple[str, str]:
+    """Two folders of the main input, as one comma-separated name, and one of the documents."""
+    one, two, docs = _scratch(spark), _scratch(spark), _scratch(spark)
+    body = _table(spark, d, "part", "p_partkey", "p_name").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("page_uuid"), F.col("p_name").alias("body_full"))
+    orders = _table(spark, d, "orders", "o_orderkey", "o_orderpriority", "o_orderstatus")
+    rows = _table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = rows.select(
+        F.col("l_orderkey").alias("qid"), F.col("o_orderpriority").alias("q"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("country"),
+        F.col("l_linenumber").alias("position"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("page_uuid"),
+    )
+    if bodies:
+        rows = rows.join(body, "page_uuid")
+    else:
+        body.write.parquet(docs)
+    rows.where("qid % 2 = 0").write.parquet(one)
+    rows.where("qid % 2 <> 0").write.parquet(two)
+    return f"{one},{two}", docs
+
+
+@_query(_RANKING.format(tie="p_name"))
+def program_ranking_pairs(spark: SparkSession, d: str) -> DataFrame:
+    out = _scratch(spark)
+    sources, _ = _ranking_inputs(spark, d, bodies=True)
+    programs.ranking_pairs(spark, sources, out)
+    return text_lines(spark, out).withColumnRenamed("value", "line")
+
+
+@_query(_RANKING.format(tie="'p' || l_partkey"))
+def program_ranking_pairs_two_stage(spark: SparkSession, d: str) -> DataFrame:
+    out = _scratch(spark)
+    sources, docs = _ranking_inputs(spark, d, bodies=False)
+    programs.ranking_pairs(spark, sources, out, docs)
+    return text_lines(spark, out).withColumnRenamed("value", "line")
+
+
+@_query("SELECT row_number() OVER (ORDER BY key, line) - 1 AS place, line FROM (SELECT p_brand AS key, p_brand || chr(9) || p_partkey AS line FROM part)")
+def program_sort_tsv(spark: SparkSession, d: str) -> DataFrame:
+    """The single sorted file, with each line's place in it."""
+    lines, out = _scratch(spark), _scratch(spark)
+    rows = _table(spark, d, "part", "p_brand", "p_partkey")
+    sinks.write_text(rows.select(F.concat_ws("\t", "p_brand", F.col("p_partkey").cast("string")).alias("value")), lines)
+    programs.sort_tsv(spark, lines, out, single=True)
+    return text_lines(spark, out).coalesce(1).select(F.monotonically_increasing_id().alias("place"), F.col("value").alias("line"))

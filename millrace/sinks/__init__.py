@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, DataFrameWriter
+import re
+
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,15 +15,33 @@ from millrace.sources.records import framed
 SINK_TYPES = {"bool": "boolean", "int64": "bigint", "double": "double", "string": "string", "bytes": "binary", "timestamp_micros": "timestamp"}
 
 
+def input_roots(df: DataFrame) -> list[str]:
+    """The paths that the files of a plan were asked for by; no folder is listed for it."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    found = []
+    for leaf in (leaves.apply(i) for i in range(leaves.length())):
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            roots = leaf.relation().location().rootPaths()
+            found += [roots.apply(i).toString() for i in range(roots.length())]
+    return found
+
+
 def _writer(df: DataFrame, path: str, inputs: list[str]) -> tuple[DataFrameWriter, str]:
     """Overwrites the output folder, but never one that the job reads."""
     (out,) = paths(path)
-    clean = lambda p: p.removeprefix("file://").rstrip("/") + "/"
-    if hit := [p for p in [*inputs, *df.inputFiles()] if clean(p).startswith(clean(out))]:
+    clean = lambda p: re.sub("^file:/+", "/", p).rstrip("/") + "/"
+    if hit := [p for p in [*paths(inputs), *input_roots(df)] if clean(p).startswith(clean(out))]:
         raise ValueError(f"the output {out} holds an input: {hit[0]}")
     return df.write.mode("overwrite"), out
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any store that Hadoop knows."""
+    (at,) = paths(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def write_text(df: DataFrame, path: str, line: str = "value", inputs: list[str] = ()) -> None:  # type: ignore[assignment]
     """One line a row of the string column ``line``."""
     writer, out = _writer(df.select(F.col(line).alias("value")), path, list(inputs))

@@ -1,15 +1,18 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from millrace.metrics import counted
+from millrace.functions.checks import int32
+from millrace.metrics import counted, phases, splits
 from millrace.operators.counting import grouped, word_count
 from millrace.operators.lookup import lookup_join
 from millrace.operators.mapreduce import Pipeline, reduce_groups
 from millrace.operators.nesting import nest
 from millrace.operators.pairs import sample_pairs, sample_pairs_joined
 from millrace.operators.sorting import first_per_group, sort_by_key, sort_parts
+from millrace.session import shared_dir
 
 
 def test_word_count_without_the_column(spark):
@@ -103,3 +106,71 @@ def test_counted(spark):
     df, seen = counted(spark.range(7), "rows seen")
     df.collect()
     assert json.dumps(seen.get) == '{"rows": 7}'
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_hot_lookup_key_can_be_split(spark):
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "64k")
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "32k")
+        left = spark.range(0, 200_000, 1, 8).selectExpr("if(id % 10 < 9, 7, id) as key", "id as n", "uuid() as pad")
+        right = spark.range(0, 300_000, 1, 8).selectExpr("id % 150000 as key", "id as body")
+        joined = lookup_join(left, right, "key", "key", "body")
+        assert joined.count() == 20_000 * 8 + 20_000 * 2 - sum(1 for i in range(9, 200_000, 10) if i >= 150_000)
+        assert "skew=true" in _run_plan(joined)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def _run_plan(df):
+    """The plan as adaptive execution left it."""
+    df.collect()
+    return plan_of(df)
+
+
+def test_sampling_reads_once_and_cuts_groups_before_the_shuffle(spark, tmp_path):
+    spark.createDataFrame([("g", "q", "us", 1, "p", "b")], ROWS).write.parquet(str(tmp_path / "rows"))
+    plan = plan_of(sample_pairs(spark.read.parquet(str(tmp_path / "rows"))))
+    assert plan.count("WindowGroupLimit") == 2 and plan.count("FileScan parquet") == 1
+
+
+def test_key_types_may_differ(spark):
+    left, right = spark.createDataFrame([(5, "x")], "key int, a string"), spark.createDataFrame([(5, "y")], "key bigint, body string")
+    assert [r["body"] for r in lookup_join(left, right, "key", "key", "body").collect()] == ["y"]
+
+
+def test_int32(spark):
+    df = spark.createDataFrame([(-(2**31),), (2**31 - 1,), (None,)], "n bigint")
+    assert [r[0] for r in df.select(int32(F.col("n"))).collect()] == [-(2**31), 2**31 - 1, None]
+    with pytest.raises(Exception, match="out of the range of int"):
+        spark.createDataFrame([(2**31,)], "n bigint").select(int32(F.col("n"))).collect()
+
+
+def test_phases_count_what_ran(spark, tmp_path):
+    ran = []
+    with phases(spark, ran):
+        spark.range(0, 1000, 1, 3).groupBy((F.col("id") % 7).alias("k")).count().write.parquet(str(tmp_path / "out"))
+    assert sum(s["rows_out"] for s in ran) == 7 and sum(s["shuffle_rows_written"] for s in ran) == 21 == sum(s["shuffle_rows_read"] for s in ran)
+    assert splits(spark.read.parquet(str(tmp_path / "out")))[0].endswith(".parquet")
+
+
+def test_a_shared_folder_is_needed_on_a_cluster(spark, monkeypatch):
+    class Conf:
+        get = staticmethod(lambda *a: None)
+
+    class Context:
+        master = "spark://host:7077"
+        getConf = Conf
+
+    class Session:
+        conf, sparkContext = Conf, Context
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session)
+    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")

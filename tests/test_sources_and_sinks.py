@@ -96,3 +96,37 @@ def test_binary_records(spark, tmp_path):
     assert list(decode(good + broken + good + good[:-1], kinds)) == [(7, "x"), (7, "x")]
     with pytest.raises(ValueError):
         binary_records(spark, str(tmp_path), "a array<int>")
+
+
+def test_plug_ins(spark, tmp_path):
+    from millrace import plugins
+
+    held = {"a": b"1,x\n2,y\n", "b": b"", "c": b"3,z\n"}
+    plugins.register_source("mem", lambda uri: sorted(held), lambda split: held[split])
+    plugins.register_format("commas", lambda raw: [(int(a), b) for a, b in (x.split(",") for x in raw.decode().split())], "n int, s string")
+    assert sorted(map(tuple, plugins.read(spark, "mem://all", "commas").collect())) == [(1, "x"), (2, "y"), (3, "z")]
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    (tmp_path / "in" / "deep" / "x.csv").write_bytes(held["a"])
+    (tmp_path / "in" / "_skipped").write_text("no")
+    assert plugins.read(spark, str(tmp_path / "in"), "commas").count() == 2
+    with pytest.raises(FileNotFoundError):
+        plugins.read(spark, str(tmp_path / "gone"), "commas")
+    (tmp_path / "empty").mkdir()
+    assert plugins.read(spark, str(tmp_path / "empty"), "commas").count() == 0
+    rows = plugins.record_rows(spark, ["a", "bb"], lambda r: {"s": r, "n": len(r)}, "n int, s string, gone double")
+    assert sorted(map(tuple, rows.collect())) == [(1, "a", None), (2, "bb", None)]
+
+
+def test_outputs_never_replace_inputs_by_any_name(spark, tmp_path):
+    from millrace import sinks
+    from millrace.sources import paths, prefix
+
+    spark.range(3).write.parquet(str(tmp_path / "in" / "x"))
+    df = spark.read.parquet(str(tmp_path / "in" / "x"))
+    assert [r.rsplit("/", 1)[-1] for r in sinks.input_roots(df.where("id > 0").join(spark.range(2), "id"))] == ["x"]
+    for out in (f"file://{tmp_path}/in", str(tmp_path / "in" / "x")):
+        with pytest.raises(ValueError, match="holds an input"):
+            sinks.write_parquet(df, out)
+    with pytest.raises(ValueError, match="holds an input"):
+        sinks.write_parquet(df, "s3a://bucket/in", inputs=["s3://bucket/in/x"])
+    assert prefix("s3://b/foo") == "s3a://b/foo*" and paths("/x") == ["/x"]
