@@ -4,13 +4,13 @@ A document's set is its distinct shingles of ``words`` words. Documents with equ
 it. Each class has ``BANDS * ROWS`` minima under different hash functions. Bands of full minima make candidates (a pair at
 the threshold shares none with probability (1 - 0.8^4)^24, some 3 in a million); the low ``BITS`` bits of the minima, packed, give
 a similarity estimate by bit counts, corrected for chance collisions, and a candidate more than six standard deviations below
-the threshold goes. The rest is confirmed on the whole sets.
+the threshold goes. The rest is confirmed on the whole sets. Shingles are 64-bit hashes and a class is named by 128 bits of
+its set: two shingles of a pair of texts agree by chance once in 2^64, two sets once in 2^128.
 
-Classes that share a band are not all paired. In each of a few rounds, the least class of a band's group is compared with
-those of other components, then leaves the group; groups of one component need nothing more. What is left of small groups is
-paired; classes in large ones are paired where few share one of their rarest shingles (a prefix filter: sets this alike
-must share one), which is exact and never pairs classes by their common passages alone. Where many share one, as in a large
-group of copies that differ just too much, the same filter works on the differences from one of them.
+Classes that share a band are not all paired. The least class of a band's group is compared with the others and leaves the
+group; groups of one component need nothing more. After ``STAR_ROUNDS`` of these, what is left of small groups is paired.
+Large groups are told apart by what each text has more or less than a pivot (see ``_Clusters``), which is exact: no pair that
+can be alike enough is lost, and texts are never paired by what all of a group share.
 
 Edge cases: a null text counts as empty; a text without words has an empty set, links with nothing and is its own component;
 fewer words than a shingle make one shingle; texts of any length are read whole. Rows that repeat a doc_id with its text are judged
@@ -30,14 +30,15 @@ from pyspark.sql import functions as F
 
 from millrace.llm.components import components
 from millrace.llm.hashing import groups, mixed, words_of
-from millrace.llm.store import materialise
+from millrace.llm.joins import keyed
+from millrace.llm.store import Tables, materialise
 from millrace.llm.text import text_or_empty
 
 BANDS, ROWS, BITS = 24, 4, 4
 _HASHES = BANDS * ROWS
 _PER_LONG = 64 // BITS
 #: Rounds of comparing with a group's least class, and the size up to which what is left of a group is paired.
-STAR_ROUNDS, SMALL_GROUP = 3, 16
+STAR_ROUNDS, SMALL_GROUP = 2, 16
 _U, _U32 = np.uint64, np.uint32
 _A = _U(0xD6E8FEB86659FD93)
 
@@ -158,116 +159,135 @@ class _Linker:
         return both.where(down * shared >= up * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
-def _other(rows: DataFrame) -> DataFrame:
-    """Rows of the groups (``key``) that hold more than one component."""
-    many = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("id").alias("first"), F.count("*").alias("size")).where("lo <> hi")
-    return rows.join(many.select(F.col("key").alias("key_m"), "first", "size"), F.col("key") == F.col("key_m")).drop("key_m")
+def _open(rows: DataFrame) -> DataFrame:
+    """key, id, component of the groups that hold more than one component, with the least id (``first``), its component
+    (``head``) and the ``size`` of the group."""
+    lead = F.min(F.struct("id", "component"))
+    many = rows.groupBy("key").agg(lead.alias("lead"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
+    return keyed(rows.select("key", "id", "component"), many.select("key", F.col("lead.id").alias("first"), F.col("lead.component").alias("head"), "size"), ["key"])
 
 
-def _prefix(each: DataFrame, of: list[str], length: Column) -> DataFrame:
-    """Rows (id, shingle, ...) whose place ``rank`` among their id's shingles is up to ``length``; the rarest come first,
-    by their count under ``of``."""
-    frequent = each.groupBy(*of).agg(F.count("*").alias("df"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "shingle"))
-    return each.join(frequent, of).withColumn("rank", rank).where(F.col("rank") <= length)
-
+def _pairs_within(rows: DataFrame) -> DataFrame:
+    left = rows.select("key", F.col("id").alias("a"), F.col("component").alias("c_a"))
+    right = rows.select("key", F.col("id").alias("b"), F.col("component").alias("c_b"))
+    return left.join(right, "key").where("a < b and c_a <> c_b").select("a", "b")
 
-def _rare(rows: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
-    """key, id, component: the rarest shingles of ``rows`` (id, component). Sets that are alike enough share one of them."""
-    each = rows.distinct().join(sets, "id").withColumn("n", F.size("shingles")).select("id", "component", "n", F.explode("shingles").alias("shingle"))
-    needed = F.col("n") - F.ceil(F.col("n") * threshold.numerator / threshold.denominator) + 1
-    return materialise(_prefix(materialise(each, "rare"), ["shingle"], needed).select(F.col("shingle").alias("key"), "id", "component"), "prefix")
 
+class _Clusters:
+    """Links within large groups, told by differences from a pivot.
 
-def _difference_pairs(rows: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
-    """Pairs of different components in the clusters of ``rows`` (id, component, cluster) that can be alike enough.
+    Groups that share texts make a cluster; its smallest set is the pivot P. Let D(x) be the symmetric difference of x and P, and
+    f(x) = |D(x)| (q + p) - |x| (q - p) for the threshold p / q. Sets a and b are alike enough where (q + p) |a ^ b| is
+    at most (q - p) (|a| + |b|), and a ^ b = D(a) ^ D(b). So
 
-    A cluster's texts are mostly alike, so they are told apart by what each has more or less than the cluster's least one,
-    its pivot. The sets of a pair differ by as much as their differences from the pivot do, so those differences must share
-    all but so many elements: a prefix filter on them, with both places checked, leaves hardly more than the true links.
+    * pairs with f(a) + f(b) <= 0 are alike whatever the differences share. Each such text is also alike to the text with the
+      least f, which takes one aggregate instead of pairs (``sure``);
+    * all others must share ceil((f(a) + f(b)) / 2 (q + p)) elements of their differences, one at least. A prefix filter over the
+      rarest elements, with the places of both texts checked, finds them (``pairs``). The cluster's largest component is
+      joined with the texts outside it, never with itself.
     """
-    p, q = threshold.numerator, threshold.denominator
-    own = rows.distinct().join(sets, "id")
-    pivot = sets.select(F.col("id").alias("pivot"), F.col("shingles").alias("base"))
-    apart = own.join(pivot, F.col("cluster") == F.col("pivot")).withColumn("d", F.concat(F.array_except("shingles", "base"), F.array_except("base", "shingles")))
-    apart = materialise(apart.select("id", "component", "cluster", F.size("shingles").alias("n"), F.size("d").alias("size"), "d"), "apart")
-    each = apart.select("id", "component", "cluster", "n", "size", F.explode("d").alias("shingle"))
-    near = _prefix(each, ["cluster", "shingle"], F.floor(F.col("n") * (q - p) / p) + 1)
-    columns = ["id", "component", "cluster", "n", "size", "shingle", "rank"]
-    # A pair whose differences are small enough together need share nothing: rank 0 stands for that.
-    whole = apart.where(F.col("size") * p <= F.col("n") * (q - p)).withColumns({"shingle": F.lit(0).cast("long"), "rank": F.lit(0)})
-    table = materialise(near.select(*columns).unionAll(whole.select(*columns)), "differences")
-    side = lambda x: table.select(*[F.col(c).alias(f"{c}_{x}") for c in columns])
-    excess = (F.col("size_a") + F.col("size_b")) * (q + p) - (F.col("n_a") + F.col("n_b")) * (q - p)
-    shared = F.ceil(excess / (2 * (q + p)))
-    keyed = (F.col("rank_a") > 0) & (shared > 0) & (F.col("rank_a") <= F.col("size_a") - shared + 1) & (F.col("rank_b") <= F.col("size_b") - shared + 1)
-    free = (F.col("rank_a") == 0) & (shared <= 0)
-    same = (F.col("cluster_a") == F.col("cluster_b")) & (F.col("shingle_a") == F.col("shingle_b")) & ((F.col("rank_a") == 0) == (F.col("rank_b") == 0))
-    alike = F.least("n_a", "n_b") * q >= F.greatest("n_a", "n_b") * p
-    on = same & (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & alike & (keyed | free)
-    return side("a").join(side("b"), on).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-
 
-def _pairs_within(rows: DataFrame) -> DataFrame:
-    left = rows.select("key", F.col("id").alias("a"), F.col("component").alias("c_a"))
-    right = rows.select("key", F.col("id").alias("b"), F.col("component").alias("c_b"))
-    return left.join(right, "key").where("a < b and c_a <> c_b").select("a", "b").distinct()
+    def __init__(self, rows: DataFrame, sets: DataFrame, threshold: Fraction, tables: Tables):
+        """``rows``: id, component, first (another id of the group)."""
+        p, q = threshold.numerator, threshold.denominator
+        self.p, self.q = p, q
+        linked = components(rows.select("id", "first"), "id", "first", tables).select(F.col("id").alias("id_c"), F.col("component").alias("cluster"))
+        members = rows.select("id", "component").distinct().join(linked, F.col("id") == F.col("id_c")).drop("id_c")
+        own = tables.write(members.join(sets, "id"), "own", "snappy")
+        pivots = own.groupBy("cluster").agg(F.min(F.struct(F.size("shingles").alias("n"), "id")).alias("x")).select("cluster", F.col("x.id").alias("pivot"))
+        bases = pivots.join(sets.withColumnRenamed("shingles", "base"), F.col("pivot") == F.col("id")).select("cluster", "base")
+        d = F.concat(F.array_except("shingles", "base"), F.array_except("base", "shingles"))
+        apart = keyed(own, bases, ["cluster"]).select("id", "component", "cluster", F.size("shingles").alias("n"), d.alias("d"))
+        apart = tables.write(apart.withColumn("size", F.size("d")).withColumn("f", F.col("size") * (q + p) - F.col("n") * (q - p)), "apart", "snappy")
+        tables.drop(own)
+        least = apart.groupBy("cluster").agg(F.min(F.struct("f", "id", "component")).alias("m"))
+        self.rows = keyed(apart, least.select("cluster", F.col("m.f").alias("f_m"), F.col("m.id").alias("id_m"), F.col("m.component").alias("component_m")), ["cluster"])
+        self.rows = self.rows.withColumn("close", F.col("f") + F.col("f_m") <= 0)
+
+    def sure(self) -> DataFrame:
+        """a, b: links with the text of the least f."""
+        return self.rows.where("close and id <> id_m").select(F.least("id", "id_m").alias("a"), F.greatest("id", "id_m").alias("b"))
+
+    def pairs(self, tables: Tables) -> DataFrame:
+        """a, b: candidates of different components that ``sure`` doesn't link."""
+        p, q = self.p, self.q
+        near = self.rows.withColumn("component", F.when(F.col("close"), F.col("component_m")).otherwise(F.col("component")))
+        sizes = near.groupBy("cluster", "component").agg(F.count("*").alias("m"))
+        largest = sizes.groupBy("cluster").agg(F.max(F.struct("m", "component")).alias("l")).select("cluster", F.col("l.component").alias("largest"))
+        each = keyed(near, largest, ["cluster"]).select("id", "component", "cluster", "n", "size", (F.col("component") == F.col("largest")).alias("inside"), F.explode("d").alias("shingle"))
+        counted = keyed(each, each.groupBy("cluster", "shingle").agg(F.count("*").alias("df")), ["cluster", "shingle"])
+        rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "shingle"))
+        # A partner has up to n q / p elements, so a text misses at most n (q - p) / p of those of its difference.
+        ranked = counted.where("df > 1").withColumn("rank", rank + F.col("size") - F.count("*").over(Window.partitionBy("id")))
+        table = tables.write(ranked.where(F.col("rank") <= F.floor(F.col("n") * (q - p) / p) + 1).drop("df"), "differences")
+        side = lambda x: table.select(*[F.col(c).alias(f"{c}_{x}") for c in table.columns])
+        excess = (F.col("size_a") + F.col("size_b")) * (q + p) - (F.col("n_a") + F.col("n_b")) * (q - p)
+        shared = F.ceil(excess / (2 * (q + p)))
+        places = (F.col("rank_a") <= F.col("size_a") - shared + 1) & (F.col("rank_b") <= F.col("size_b") - shared + 1)
+        alike = F.least("n_a", "n_b") * q >= F.greatest("n_a", "n_b") * p
+        once = F.col("inside_b") | (F.col("id_a") < F.col("id_b"))
+        on = (F.col("cluster_a") == F.col("cluster_b")) & (F.col("shingle_a") == F.col("shingle_b")) & (F.col("component_a") != F.col("component_b")) & once & alike & places
+        return side("a").where("not inside_a").join(side("b"), on).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
+
+
+def _members(full: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, rep (the least doc_id with the same set) of documents with words."""
+    return keyed(full.select("doc_id", "n_shingles", "set_1", "set_2"), full.groupBy("set_1", "set_2").agg(F.min("doc_id").alias("rep")), ["set_1", "set_2"]).select("doc_id", "n_shingles", "rep")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, star_rounds: int = STAR_ROUNDS, small_group: int = SMALL_GROUP) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (the least doc_id it is linked to, itself included), kept."""
-    limit = Fraction(str(threshold))
-    rows = materialise(signed(docs, id_col, text_col, words), "signed")
-    known = rows.where("doc_id is not null")
-    full = known.where("n_shingles > 0")
-    least = full.groupBy("set_1", "set_2").agg(F.min("doc_id").alias("rep"))
-    least = least.select(F.xxhash64("set_1", "set_2").alias("k"), F.col("set_1").alias("r_1"), F.col("set_2").alias("r_2"), "rep")
-    keyed = full.select("doc_id", "n_shingles", "set_1", "set_2", F.xxhash64("set_1", "set_2").alias("k_d"))
-    members = materialise(keyed.join(least, (F.col("k_d") == F.col("k")) & (F.col("set_1") == F.col("r_1")) & (F.col("set_2") == F.col("r_2"))).select("doc_id", "n_shingles", "rep"), "members")
-    ids = members.select(F.col("rep").alias("id")).distinct()
-    bands = full.join(ids, F.col("doc_id") == F.col("id")).select("id", F.explode("bands").alias("key")).distinct()
-    shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("key_s"))
-    groups_ = materialise(bands.join(shared, F.col("key") == F.col("key_s")).select("key", "id", F.col("id").alias("component")), "bands")
+    with Tables(docs.sparkSession) as tables:
+        return materialise(_judged(docs, id_col, text_col, words, Fraction(str(threshold)), star_rounds, small_group, tables), "near")
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, words: int, limit: Fraction, star_rounds: int, small_group: int, tables: Tables) -> DataFrame:
+    rows = tables.write(signed(docs, id_col, text_col, words), "signed")
+    full = rows.where("doc_id is not null and n_shingles > 0")
+    members = tables.write(_members(full), "members")
+    reps = full.join(members.select(F.col("rep").alias("id")).distinct(), F.col("doc_id") == F.col("id"))
+    bands = reps.select("id", F.explode("bands").alias("key")).distinct()
+    shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    groups_ = tables.write(keyed(bands, shared, ["key"]).select("key", "id"), "bands")
     candidates = groups_.select("id").distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("d"), text_or_empty(F.col(text_col)).alias("text")).join(candidates, F.col("d") == F.col("id")).select("id", "text")
-    sets = materialise(shingle_sets(texts, words).dropDuplicates(["id"]), "sets", "snappy")
-    classes = materialise(full.join(candidates, F.col("doc_id") == F.col("id")).select("id", "n_shingles", "signature").dropDuplicates(["id"]), "classes")
+    sets = tables.write(shingle_sets(texts, words).dropDuplicates(["id"]), "sets", "snappy")
+    classes = tables.write(full.join(candidates, F.col("doc_id") == F.col("id")).select("id", "n_shingles", "signature").dropDuplicates(["id"]), "classes")
     linker, found = _Linker(classes, sets, limit), None
 
-    def merge(pairs: DataFrame, left: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Component table with the pairs' links, and ``left`` with its components."""
-        links = linker.links(pairs)
-        now = components(links if found is None else links.unionAll(found.select(F.col("id").alias("a"), F.col("component").alias("b"))), "a", "b")
-        merged = left.drop("component").join(now, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-        return now, materialise(merged, "groups")
+    def merged(links: DataFrame) -> DataFrame:
+        """The component table of the links so far and these."""
+        known = links if found is None else links.unionAll(found.select(F.col("id").alias("a"), F.col("component").alias("b")))
+        now = components(known, "a", "b", tables)
+        if found is not None:
+            tables.drop(found)
+        return now
 
-    left = groups_
+    left = groups_.withColumn("component", F.col("id"))
+    open_ = tables.write(_open(left), "open")
     for _ in range(star_rounds):
-        open_ = _other(left)
-        pairs = open_.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"), "component", "key")
-        heads = open_.where("id = first").select(F.col("key").alias("key_h"), F.col("component").alias("head"))
-        pairs = pairs.join(heads, F.col("key") == F.col("key_h")).where("component <> head").select("a", "b")
-        rest = open_.where("id <> first").select("key", "id", "component")
-        found, left = merge(pairs, rest)
-    open_ = materialise(_other(left), "open")
+        if open_.isEmpty():
+            break
+        found = merged(linker.links(open_.where("id <> first and component <> head").select(F.col("first").alias("a"), F.col("id").alias("b"))))
+        rest = open_.where("id <> first").select("key", "id").join(found.withColumnRenamed("id", "id_f"), F.col("id") == F.col("id_f"), "left")
+        then = tables.write(_open(rest.select("key", "id", F.coalesce("component", "id").alias("component"))), "open")
+        tables.drop(open_)
+        open_ = then
     if not open_.isEmpty():
-        few = _pairs_within(open_.where(F.col("size") <= small_group))
-        large = open_.where(F.col("size") > small_group).select("id", "component")
-        if large.isEmpty():
-            found, _ = merge(few, left)
-        else:
-            rare = materialise(_other(_rare(large, sets, limit)), "open")
-            found, now = merge(few.unionAll(_pairs_within(rare.where(F.col("size") <= small_group))), rare.where(F.col("size") > small_group))
-            now = materialise(_other(now), "open")
-            if not now.isEmpty():
-                # Groups that share texts make a cluster; its least text is compared with all others first.
-                clusters = components(now.select("id", "first"), "id", "first").withColumnRenamed("component", "cluster")
-                stars = clusters.where("id <> cluster").select(F.col("cluster").alias("a"), F.col("id").alias("b"))
-                tied = now.select("id", "component").distinct().join(clusters, "id")
-                found, tied = merge(stars, tied.withColumnRenamed("cluster", "key"))
-                found, _ = merge(_difference_pairs(tied.withColumnRenamed("key", "cluster"), sets, limit), left)
-    found = found.withColumnRenamed("id", "rep_c")
-    linked = members.join(found, F.col("rep") == F.col("rep_c"), "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+        pairs = _pairs_within(open_.where(F.col("size") <= small_group))
+        large = open_.where(F.col("size") > small_group).select("id", "component", "first")
+        sure = None
+        if not large.isEmpty():
+            clusters = _Clusters(large, sets, limit, tables)
+            pairs, sure = pairs.unionAll(clusters.pairs(tables)), clusters.sure()
+        links = linker.links(pairs)
+        found = merged(links if sure is None else links.unionAll(sure))
+    return _result(rows, members, found)
+
+
+def _result(rows: DataFrame, members: DataFrame, found: DataFrame | None) -> DataFrame:
+    linked = members.withColumn("component", F.col("rep")) if found is None else members.join(found.withColumnRenamed("id", "rep_c"), F.col("rep") == F.col("rep_c"), "left")
+    linked = linked.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     alone = rows.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionAll(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
@@ -276,4 +296,4 @@ def near_dedup_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The rows of ``docs`` that are kept, all columns unchanged. Texts don't move: the ids that go are taken away."""
     judged = near_duplicates(docs, id_col, text_col, **options)
     gone = judged.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")

@@ -1,11 +1,13 @@
 import random
 import re
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from millrace.llm import hashing, minhash_dedup
 from millrace.llm.components import components
+from millrace.llm.store import Tables
 from tests.llm.helpers import by_id, docs
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -68,6 +70,56 @@ def test_large_group_of_unlike_texts_with_a_common_passage(spark):
     assert run(spark, texts, star_rounds=1, small_group=2) == want
 
 
+def near_copies(n, edits, seed, size=90):
+    """Copies of one text, with some words of each replaced by words of its own."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+    texts = {}
+    for i in range(n):
+        text = list(base)
+        for k in rng.sample(range(size), rng.choice(edits)):
+            text[k] = f"e{i}x{k}"
+        texts[i] = " ".join(text)
+    return texts
+
+
+def test_large_group_of_near_copies_some_of_which_are_too_far_apart(spark):
+    # Each edit makes four of 87 shingles unlike: texts of up to two edits are mostly alike, those of five only reach some.
+    texts = near_copies(400, [0, 1, 2, 3, 4, 5, 6], 11)
+    # A second family that shares half of the base, so that it has edits in common.
+    half = texts[0].split()[:45] + [f"h{k}" for k in range(45)]
+    rng = random.Random(12)
+    for i in range(400, 600):
+        text = list(half)
+        for k in rng.sample(range(90), rng.randrange(7)):
+            text[k] = f"g{i}x{k}"
+        texts[i] = " ".join(text)
+    want = brute(texts)
+    assert len({c for _, c, _ in want.values()}) > 20
+    assert run(spark, texts) == want
+    assert run(spark, texts, star_rounds=0, small_group=4) == want
+
+
+def test_large_groups_cost_in_proportion(spark):
+    def took(n):
+        d = docs(spark, []).union(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in near_copies(n, [0, 1, 2, 4, 5], 13).items()], docs(spark, []).schema)).repartition(8).cache()
+        d.count()
+        began = time.perf_counter()
+        rows = minhash_dedup.near_duplicates(d, words=4).count()
+        assert rows == n
+        return time.perf_counter() - began
+
+    took(500)
+    small, large = took(4_000), took(16_000)
+    assert large < 3 * small + 20  # the square would be 16
+
+
+def test_a_very_long_text_of_distinct_words(spark):
+    long = " ".join(f"n{i}" for i in range(300_000))
+    texts = {0: long, 1: long + " more words at the end", 2: " ".join(f"n{i}" for i in range(150_000))}
+    assert run(spark, texts) == {0: (299_997, 0, True), 1: (300_002, 0, False), 2: (149_997, 2, True)}
+
+
 def test_word_hashes_and_estimate(spark):
     texts = [b"", b"a  b\n", "Straße STRASSE É".encode(), b"x" * 50, b"A B a"]
     hashes, begins, joined, starts, ends = hashing.words_of(texts)
@@ -92,7 +144,7 @@ def test_word_hashes_and_estimate(spark):
 
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(50)] + [(1000 + i, 900) for i in range(300)] + [(70, 71), (71, 70), (72, 72)]
-    got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "x long, y long"), "x", "y").collect()}
+    got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "x long, y long"), "x", "y", Tables(spark)).collect()}
     assert got == {i: 0 for i in range(51)} | {1000 + i: 900 for i in range(300)} | {900: 900, 70: 70, 71: 70}
 
 
