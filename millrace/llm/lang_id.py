@@ -1,17 +1,22 @@
 """Language identification with a blended-spectrum presence kernel.
 
 The kernel of two texts is the count of n-grams (1 to 3 letters, with blanks at word ends) that are present in both, divided
-by the geometric mean of their own counts. Landmark texts give Nyström features K(x, Z) K(Z, Z)^-1/2, on which one ridge
-regression a language is fitted. Scoring a batch is two matrix products: presence rows by landmark rows, then by weights.
+by the geometric mean of how many each of them has. Landmark texts Z give Nyström features K(x, Z) K(Z, Z)^-1/2, on which one
+ridge regression a language is fitted. As K(x, Z) is itself a product of presence rows, the landmarks' rows, the root and the
+regressions fold into one weight a language for every n-gram of the landmarks: a batch is scored by the product of its
+(sparse) presence rows with those weights.
 
-The classifier is fitted on a bounded sample of the labelled rows: at most ``per_lang`` rows of each language, those with
-the least hash of the id, and at most ``MAX_LANGS`` languages (more is an error). Everything else covers all rows and whole
-texts: letters are lower-cased, digits and punctuation count as blanks, letters outside the sample's ``ALPHABET`` most frequent
-ones share one code.
+Letters are lower-cased code points of any script, all others count as blanks; an n-gram is named by its code points, so
+large scripts are told apart as small ones are.
+
+The classifier is fitted on a bounded sample of the labelled rows: about ``per_lang`` rows of each language, those with the least
+hash of the id, of texts up to ``SAMPLE_CHARS`` characters; at most ``MAX_LANGS`` languages (more is an error) with
+``MAX_LANDMARKS`` landmarks together. Everything else covers all rows and whole texts.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0, as is every text where nothing can be learned (no
-labelled rows); ties go to the language that comes first in order; repeated rows get equal predictions; rows with a null
-doc_id or null lang aren't learned from; an empty table gives an empty result. Other columns are ignored.
+labelled rows); a text none of whose n-grams a landmark has gets a language with score 0; ties go to the language that comes
+first in order; repeated rows get equal predictions (and may all be in the sample); rows with a null doc_id or null lang
+aren't learned from; texts of any length are read whole; an empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,20 +27,23 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 PER_LANG = 300
-LANDMARKS_PER_LANG = 40
+LANDMARKS_PER_LANG, MAX_LANDMARKS = 40, 2048
 MAX_LANGS = 256
-ALPHABET = 125
+SAMPLE_CHARS = 100_000
 RIDGE = 0.01
 #: Sharpness of the softmax that turns regression values to scores.
 SHARPNESS = 8.0
-#: Texts of a matrix product, and characters after which a batch is closed early.
+#: Texts of a product, and characters after which a batch is closed early.
 BATCH_TEXTS, BATCH_CHARS = 128, 1_000_000
-#: Codes 0 and 1: blank and any letter outside the alphabet.
-_BASE = ALPHABET + 2
+#: Columns of presence rows that are dense at once while fitting.
+_COLUMNS = 1 << 15
+_SHIFT = np.int64(21)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _points(text: str) -> np.ndarray:
@@ -44,71 +52,104 @@ def _points(text: str) -> np.ndarray:
 
 @cache
 def _letters() -> np.ndarray:
-    return np.array([chr(i).isalpha() for i in range(0x110000)], np.uint8)
-
-
-class Alphabet:
-    """Letters to small codes."""
-
-    def __init__(self, letters: str):
-        self._table = _letters().copy()
-        for code, letter in enumerate(letters, 2):
-            self._table[ord(letter)] = code
-
-    def known(self, points: np.ndarray) -> float:
-        """The share of a text's letters that are in the alphabet."""
-        codes = self._table[points]
-        return float((codes > 1).sum() / max((codes > 0).sum(), 1))
-
-    def grams(self, points: np.ndarray) -> np.ndarray:
-        """Codes of all n-grams of 1 to 3 letters, repeated as they occur; runs of blanks count as one."""
-        codes = np.concatenate(([0], self._table[points], [0]))
-        codes = codes[np.concatenate(([True], (codes[1:] | codes[:-1]) != 0))].astype(np.int32)
-        two = codes[:-1] * _BASE + codes[1:]
-        three = two[:-1] * _BASE + codes[2:]
-        return np.concatenate((codes, two + _BASE, three + _BASE + _BASE * _BASE))
-
-
-_SPACE = _BASE + _BASE**2 + _BASE**3
+    return np.array([i if chr(i).isalpha() else 0 for i in range(0x110000)], np.int64)
+
+
+def grams(text: str) -> np.ndarray:
+    """The distinct n-grams of 1 to 3 letters, as code points of 21 bits each; runs of blanks count as one, and a blank alone
+    is none."""
+    codes = np.concatenate(([0], _letters()[_points(text)], [0]))
+    codes = codes[np.concatenate(([True], (codes[1:] | codes[:-1]) != 0))]
+    two = (codes[:-1] << _SHIFT) + codes[1:]
+    three = (two[:-1] << _SHIFT) + codes[2:]
+    # 21 bits hold 0x110000 and more: marks keep " a" (two) apart from "a" (one).
+    mark = np.int64(0x110000)
+    two[codes[:-1] == 0] += mark << _SHIFT
+    three[codes[:-2] == 0] += mark << (2 * _SHIFT)
+    return np.unique(np.concatenate((codes[codes > 0], two, three)))
+
+
+class Vocabulary:
+    """Places of n-grams in a sorted array, by open addressing: most are found with one look."""
+
+    def __init__(self, known: np.ndarray):
+        self.bits = max(4, int(4 * len(known)).bit_length())
+        self.keys, self.places = np.zeros(1 << self.bits, np.int64), np.full(1 << self.bits, -1, np.int32)
+        left, at = np.arange(len(known)), self._slot(known)
+        while len(left):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = known[left[free]]
+            won = self.keys[at] == known[left]
+            self.places[at[won]] = left[won]
+            left, at = left[~won], (at[~won] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * _ODD) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key; -1 for unknown ones."""
+        out, left, at = np.full(len(keys), -1, np.int32), np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            there = self.keys[at]
+            hit = there == keys[left]
+            out[left[hit]] = self.places[at[hit]]
+            more = ~hit & (there != 0)
+            left, at = left[more], (at[more] + 1) & ((1 << self.bits) - 1)
+        return out
 
 
 class Model(NamedTuple):
-    letters: str
     langs: list[str]
-    #: The landmarks' n-grams, and each landmark's presence row (scaled to unit length).
+    #: The landmarks' n-grams, sorted; what each adds to the languages' values, and what all texts start from.
     grams: np.ndarray
-    landmarks: np.ndarray
     weights: np.ndarray
+    bias: np.ndarray
 
 
 class Scorer:
-    """A model in a worker: presence rows of texts over the landmarks' n-grams, and their scores."""
+    """A model in a worker."""
 
     def __init__(self, model: Model):
-        self.model, self.alphabet = model, Alphabet(model.letters)
-        self.place = np.full(_SPACE, -1, np.int32)
-        self.place[model.grams] = np.arange(len(model.grams))
-
-    def presence(self, texts: list[str]) -> np.ndarray:
-        rows = np.zeros((len(texts), len(self.model.grams)), np.float32)
-        for row, text in zip(rows, texts, strict=True):
-            at = self.place[self.alphabet.grams(_points(text))]
-            row[at[at >= 0]] = 1
-        return rows
-
-    def kernel(self, texts: list[str]) -> np.ndarray:
-        rows = self.presence(texts)
-        own = np.sqrt(np.maximum(rows.sum(axis=1, keepdims=True), 1))
-        return rows @ self.model.landmarks.T / own
+        self.model, self.places = model, Vocabulary(model.grams)
+
+    def values(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The regression value of each language, and the share of each text's n-grams that landmarks have."""
+        own = [grams(t) for t in texts]
+        sizes = np.array([max(len(g), 1) for g in own])
+        found = self.places(np.concatenate(own))
+        row = np.repeat(np.arange(len(own)), [len(g) for g in own])[found >= 0]
+        found = found[found >= 0]
+        known = np.bincount(row, minlength=len(own))
+        begins = np.concatenate(([0], np.cumsum(known)))
+        # A last row of zeros keeps texts without known n-grams from borrowing the next text's.
+        added = np.concatenate((self.model.weights[found], np.zeros((1, len(self.model.langs)))))
+        sums = np.add.reduceat(added, begins[:-1], axis=0) if len(own) else added[:0]
+        sums[known == 0] = 0
+        return sums / np.sqrt(sizes)[:, None] + self.model.bias, known / sizes
 
     def __call__(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        k = self.kernel(texts)
-        values = np.concatenate((k, np.ones((len(texts), 1), np.float32)), axis=1) @ self.model.weights
+        values, evidence = self.values(texts)
         best = values.argmax(axis=1)
         shares = np.exp(SHARPNESS * (values - values.max(axis=1, keepdims=True)))
-        # A text that shares hardly a letter or an n-gram with any landmark has no evidence for its best language.
-        evidence = np.clip(k.max(axis=1), 0, 1) * [self.alphabet.known(_points(t)) for t in texts]
-        return [self.model.langs[i] for i in best], np.clip(evidence * (1 / shares.sum(axis=1)), 0, 1)
+        # A text whose n-grams no landmark has gives no evidence for its best language, however long it is.
+        return [self.model.langs[i] for i in best], np.clip(evidence / shares.sum(axis=1), 0, 1)
+
+
+def _shared(a: list[np.ndarray], b: list[np.ndarray], width: int) -> np.ndarray:
+    """How many places each of the sorted arrays of places ``a`` has in common with each of ``b``: products of presence
+    rows, some columns at a time."""
+    out = np.zeros((len(a), len(b)))
+
+    def rows(of: list[np.ndarray], lo: int) -> np.ndarray:
+        made = np.zeros((len(of), min(_COLUMNS, width - lo)), np.float32)
+        for row, places in zip(made, of, strict=True):
+            x, y = np.searchsorted(places, (lo, lo + made.shape[1]))
+            row[places[x:y] - lo] = 1
+        return made
+
+    for lo in range(0, width, _COLUMNS):
+        out += rows(a, lo) @ rows(b, lo).T
+    return out
 
 
 def fit(sample: list[tuple[str, str]], landmarks_per_lang: int = LANDMARKS_PER_LANG, ridge: float = RIDGE) -> Model | None:
@@ -117,43 +158,56 @@ def fit(sample: list[tuple[str, str]], landmarks_per_lang: int = LANDMARKS_PER_L
     if not sample:
         return None
     langs = sorted({y for _, y in sample})
-    counts = sum((np.bincount(p[p < 0x110000], minlength=0x110000) for p in (_points(t) for t, _ in sample)), np.zeros(0x110000, np.int64))
-    letters = "".join(chr(i) for i in np.argsort(-counts, kind="stable")[: 4 * ALPHABET] if counts[i] and chr(i).isalpha())[:ALPHABET]
-    alphabet = Alphabet(letters)
-    marks = [t for lang in langs for t in [t for t, y in sample if y == lang][:landmarks_per_lang]]
-    grams = np.unique(np.concatenate([np.unique(alphabet.grams(_points(t))) for t in marks]))
-    bare = Scorer(Model(letters, langs, grams, np.zeros((0, len(grams)), np.float32), np.zeros(0)))
-    rows = bare.presence(marks)
-    model = Model(letters, langs, grams, rows / np.sqrt(rows.sum(axis=1, keepdims=True)), np.zeros(0))
-    scorer = Scorer(model)
-    own = scorer.kernel(marks).astype(np.float64)
+    each = max(1, min(landmarks_per_lang, MAX_LANDMARKS // len(langs)))
+    marks = [grams(t) for lang in langs for t in [t for t, y in sample if y == lang][:each]]
+    vocabulary = np.unique(np.concatenate(marks))
+    places = Vocabulary(vocabulary)
+    z = [np.searchsorted(vocabulary, m) for m in marks]
+    z_own = np.sqrt([len(m) for m in marks])
+    own = _shared(z, z, len(vocabulary)) / np.outer(z_own, z_own)
     values, vectors = np.linalg.eigh((own + own.T) / 2)
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
-    k = np.concatenate([scorer.kernel([t for t, _ in sample[i : i + BATCH_TEXTS]]) for i in range(0, len(sample), BATCH_TEXTS)])
-    x = np.concatenate((k @ root, np.ones((len(sample), 1))), axis=1)
+    features = []
+    for i in range(0, len(sample), BATCH_TEXTS):
+        g = [grams(t) for t, _ in sample[i : i + BATCH_TEXTS]]
+        at = [np.sort(p[p >= 0]) for p in map(places, g)]
+        features.append(_shared(at, z, len(vocabulary)) / np.outer(np.sqrt([len(x) for x in g]), z_own) @ root)
+    x = np.concatenate((np.concatenate(features), np.ones((len(sample), 1))), axis=1)
     y = np.array([[1.0 if lang == of else -1.0 for lang in langs] for _, of in sample])
     weigh = np.array([1 / sum(o == of for _, o in sample) for _, of in sample])[:, None] * len(sample) / len(langs)  # languages count alike
     penalty = ridge * len(sample) * np.eye(x.shape[1])
     penalty[-1, -1] = 1e-9
     w = np.linalg.solve(x.T @ (weigh * x) + penalty, x.T @ (weigh * y))
-    return model._replace(weights=np.concatenate((root @ w[:-1], w[-1:])).astype(np.float32))
+    on_marks = root @ w[:-1] / z_own[:, None]
+    weights = np.zeros((len(vocabulary), len(langs)))
+    for at, row in zip(z, on_marks, strict=True):
+        weights[at] += row
+    return Model(langs, vocabulary, weights, w[-1])
 
 
 def training_sample(docs: DataFrame, learn: Column, id_col: str, text_col: str, lang_col: str, per_lang: int = PER_LANG) -> list[tuple[str, str]]:
-    """At most ``per_lang`` (text, language) rows of each language. Ids and languages are read first; each task passes on
-    no more than ``per_lang`` rows of a language, so neither a common language nor the driver gathers more."""
-    rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    by = Window.partitionBy("y").orderBy("h", "i")
-    picked = rows.select(F.col(id_col).alias("i"), F.col(lang_col).alias("y"), F.xxhash64(id_col).alias("h")).withColumn("k", F.row_number().over(by)).where(F.col("k") <= per_lang)
-    ids = picked.select("i", "y").limit(MAX_LANGS * per_lang + 1).collect()
-    if len({r["y"] for r in ids}) > MAX_LANGS:
+    """About ``per_lang`` (text, language) rows of each language, at most so many where ids are distinct.
+
+    A count of each language sets the bar that the hash of an id must stay under, a little higher than ``per_lang`` rows need;
+    the driver gets those rows alone and keeps the least hashes. No language meets in one task.
+    """
+    rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & (F.length(text_col) <= SAMPLE_CHARS))
+    counts = rows.groupBy(F.col(lang_col).cast("string").alias("y")).count().limit(MAX_LANGS + 1).collect()
+    if len(counts) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
-    wanted = [r["i"] for r in ids]
-    if not wanted:
+    if not counts:
         return []
-    found = rows.where(F.col(id_col).isin(wanted)).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("y")).collect()
-    return [(r["t"], r["y"]) for r in sorted(found, key=lambda r: (r["y"], r["i"], r["t"]))]
+    wanted = per_lang + 6 * per_lang**0.5
+    bars = F.create_map(*[F.lit(v) for r in counts for v in (r["y"], min(1.0, wanted / r["count"]))])
+    least = F.shiftrightunsigned(F.xxhash64(id_col), 11) / F.lit(2.0**53)
+    found = rows.where(least < F.element_at(bars, F.col(lang_col).cast("string")))
+    by: dict[str, list[tuple]] = {}
+    picked = found.select(least.alias("h"), F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("y"))
+    # The limit only matters where an id stands in very many rows, which all have its hash.
+    for r in picked.limit(2 * len(counts) * int(wanted)).collect():
+        by.setdefault(r["y"], []).append((r["h"], r["i"], r["t"]))
+    return [(t, y) for y in sorted(by) for _, _, t in sorted(by[y])[:per_lang]]
 
 
 def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: tuple[str, ...] = (), per_lang: int = PER_LANG) -> DataFrame:
@@ -182,8 +236,6 @@ def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: s
             names = [n for n in batch.schema.names if n != "_text"]
             yield pa.RecordBatch.from_arrays([*others, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
 
-    from pyspark.sql.types import StructType
-
     return rows.mapInArrow(run, StructType(held).add("lang_pred", "string").add("score", "double"))
 
 
