@@ -2,16 +2,18 @@
 
 Counts of words and of word pairs in the training documents are quantised to levels (level l: 2^(l-1) to 2^l - 1 times). The
 filter holds each n-gram once a level, up to its own, so that probing level after level until one is missing reads the
-level back, with one-sided errors only. A word's probability is its smoothed count, interpolated with that of its pair:
+level back, with one-sided errors only. A word's probability is its pair's share smoothed by its own:
 
-    p(w | v) = L * min(c(vw), c(v)) / c(v) + (1 - L) * (c(w) + 0.5) / (sum of c + 0.5 * (V + 1))
+    p(w | v) = L * c(vw) / c(v) + (1 - L) * p(w),    p(w) = (m(w) + 0.5) / (sum of m + 0.5 * (V + 1))
 
-where c is the level's middle and L is ``WEIGHT``; a pair that is too frequent for its words, as chance hits are, counts as
-its rarer word allows. All pairs are held, those seen once at level 1; after a word that training lacks, L is 0.
+where c(vw) is the least count of the pair's level, c(v) the count of the word before (of documents, at a text's start): the exact
+one of frequent words, else the largest of its level; m is the middle of a level; L is ``WEIGHT``, or 0 after a word that training
+lacks. So the probabilities that follow a history add up to 1 at most, but for chance hits of the filter; a pair counts as its rarer word allows at most, which takes most of those
+back. All pairs are held, those seen once too.
 
-The filter has ``BITS_PER_ENTRY`` bits an entry, so it grows with the corpus. Its blocks are built where their entries meet. It
-is broadcast whole up to ``MAX_BROADCAST`` bytes; a larger one is broadcast in that many slices, one pass over the documents
-each, with the levels found so far written to the shared folder between the passes.
+The filter has ``BITS_PER_ENTRY`` bits an entry, so it grows with the corpus. Its blocks are built where their entries meet. Up
+to ``MAX_BROADCAST`` bytes it is broadcast. A larger one stays in its table: the distinct n-grams of the texts are sent to
+their blocks, probed there, and their levels come back to the texts by joins, to the same scores.
 
 The base score needs exact counts. Words of up to ``HEAD_CHARS`` bytes that are so frequent that at most ``HEAD_WORDS`` are
 as frequent are broadcast with their counts; all other words go with their document's key through a join.
@@ -23,7 +25,7 @@ are 0 and both scores are sums of log10 1 = 0. An empty table gives an empty res
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -32,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.hashing import groups, mixed, words_of
-from millrace.llm.store import materialise
+from millrace.llm.store import Tables, materialise
 from millrace.llm.text import SPACE, ascii_lower, text_or_empty
 
 WEIGHT = 0.3
@@ -182,6 +184,7 @@ class Score(NamedTuple):
     counts: np.ndarray
     denominator: float
     model_total: float
+    documents: int
 
 
 _SCORED = "doc_id long, text_1 long, text_2 long, n_tokens long, known long, base double, score double, tail array<struct<token:string,n:long>>"
@@ -189,32 +192,32 @@ _TAIL = pa.list_(pa.struct([("token", pa.string()), ("n", pa.int64())]))
 _SCORED_ARROW = pa.schema([("doc_id", pa.int64()), ("text_1", pa.int64()), ("text_2", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("tail", _TAIL)])
 
 
-def _unique_levels(part: Slice, keys: np.ndarray) -> np.ndarray:
-    own, back = np.unique(keys, return_inverse=True)
-    return part.levels(own)[back]
-
-
 def _sums(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, begins[:-1])
 
 
-def _score_group(group: list[tuple], part: Slice, data: Score) -> pa.RecordBatch:
+def _names(tokens: np.ndarray, begins: np.ndarray) -> list[list[int]]:
+    """Two numbers that name each text by its tokens."""
+    sums = [np.array([x.sum(dtype=_U), (mixed(x) * np.arange(1, len(x) + 1, dtype=_U)).sum(dtype=_U)]).view(np.int64) for x in np.split(tokens, begins[1:-1])]
+    return [[int(n[0]) for n in sums], [int(n[1]) for n in sums]]
+
+
+def _score_group(group: list[tuple], levels: Callable[[np.ndarray], np.ndarray], data: Score) -> pa.RecordBatch:
+    """``levels``: the levels of distinct n-grams."""
     texts = [g[-1] for g in group]
     tokens, begins, (joined, starts, ends) = _tokens(texts)
     own, back = np.unique(tokens, return_inverse=True)
-    words, pairs = part.levels(own)[back], _unique_levels(part, _pairs(tokens, begins[:-1]))
-    if len(group[0]) > 2:  # levels from earlier slices
-        words = np.maximum(words, np.frombuffer(b"".join(g[1] for g in group), np.uint8))
-        pairs = np.maximum(pairs, np.frombuffer(b"".join(g[2] for g in group), np.uint8))
-    log = np.log10(probabilities(words, pairs, begins[:-1], data.model_total))
+    pairs, pairs_back = np.unique(_pairs(tokens, begins[:-1]), return_inverse=True)
+    of_words, of_pairs = levels(own), levels(pairs)
     at = np.minimum(np.searchsorted(data.head, own), max(len(data.head) - 1, 0))
     hit = data.head[at] == own if len(data.head) else np.zeros(len(own), bool)
     count = np.where(hit, data.counts[at] if len(data.head) else 0, 0)
+    history = np.where(hit, count, 2.0**of_words - 1)
+    log = np.log10(probabilities(of_words[back], of_pairs[pairs_back], begins[:-1], history[back], data.documents, data.model_total))
     base = np.where(hit, np.log10((count + 0.5) / data.denominator), 0)[back]
     known = (hit & (count > 0))[back]
     tail = _tails(~hit[back], begins, back, joined, starts, ends)
-    names = [np.array([x.sum(dtype=_U), (mixed(x) * np.arange(1, len(x) + 1, dtype=_U)).sum(dtype=_U)]).view(np.int64) for x in np.split(tokens, begins[1:-1])]
-    columns = [[g[0] for g in group], [int(n[0]) for n in names], [int(n[1]) for n in names], np.diff(begins), _sums(known.astype(np.int64), begins), _sums(base, begins), _sums(log, begins), tail]
+    columns = [[g[0] for g in group], *_names(tokens, begins), np.diff(begins), _sums(known.astype(np.int64), begins), _sums(base, begins), _sums(log, begins), tail]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCORED_ARROW, strict=True)], schema=_SCORED_ARROW)
 
 
@@ -229,17 +232,17 @@ def _tails(out: np.ndarray, begins: np.ndarray, kinds: np.ndarray, joined: bytes
     return tails
 
 
-def probabilities(words: np.ndarray, pairs: np.ndarray, first: np.ndarray, total: float) -> np.ndarray:
-    """p(w | v) of tokens in a row, from the levels of the words and of the pairs they end."""
-    before = np.concatenate((np.zeros(1, words.dtype), words[:-1]))
-    before[first] = 0
-    # A pair is no more frequent than either word; a text's first token has none before it and stands alone.
-    capped = np.minimum(pairs, np.minimum(before, words))
+def probabilities(words: np.ndarray, pairs: np.ndarray, first: np.ndarray, history: np.ndarray, documents: int, total: float) -> np.ndarray:
+    """p(w | v) of tokens in a row, from the levels of the words and of the pairs they end. ``history``: a count of each word that
+    isn't below the true one; ``first``: where texts begin."""
+    before, seen = np.empty(len(words), words.dtype), np.empty(len(words))
+    before[1:], seen[1:] = words[:-1], history[:-1]
+    before[first], seen[first] = int(documents).bit_length(), documents
+    capped = np.minimum(pairs, np.minimum(before, words)).astype(np.float64)
     alone = (level_middle(words.astype(np.float64)) + 0.5) / total
-    history = level_middle(before.astype(np.float64))
-    share = np.minimum(level_middle(capped.astype(np.float64)), history) / np.maximum(history, 1)
-    held = np.where(before > 0, WEIGHT, 0.0)
-    return held * share + (1 - held) * alone
+    together = np.minimum(np.where(capped > 0, 2.0 ** (capped - 1), 0.0), seen)
+    held = np.where(seen > 0, WEIGHT, 0.0)
+    return held * together / np.maximum(seen, 1) + (1 - held) * alone
 
 
 class Model(NamedTuple):
@@ -251,6 +254,7 @@ class Model(NamedTuple):
     tokens: int
     distinct: int
     level_total: float
+    documents: int
 
 
 def tokens_of(text: Column) -> Column:
@@ -258,16 +262,19 @@ def tokens_of(text: Column) -> Column:
     return F.array_append(F.array_remove(F.split(ascii_lower(text), f"[{SPACE}]+"), ""), F.lit(""))
 
 
-def train(texts: DataFrame) -> Model:
+def train(texts: DataFrame, tables: Tables) -> Model:
     """A model of a table with the one column ``text`` (not null)."""
-    counts = materialise(texts.select(F.explode(tokens_of(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("c")), "counts")
+    counts = tables.write(texts.select(F.explode(tokens_of(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("c")), "counts")
     level = (F.floor(F.log2("c")) + 1).cast("int")
-    entries = materialise(word_hashes(counts).unionAll(pair_counts(texts)).select("h", level.alias("level")), "entries", "snappy")
+    entries = tables.write(word_hashes(counts).unionAll(pair_counts(texts)).select("h", level.alias("level")), "entries", "snappy")
     size = entries.agg(F.sum("level").alias("n")).first()["n"] or 0
     blocks = max(1, -(-size * BITS_PER_ENTRY // BLOCK))
     middles = F.sum((F.pow(2.0, level - 1) + F.pow(2.0, level) - 1) / 2)
-    total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), middles.alias("m")).first()
-    return Model(counts, materialise(build(entries, blocks), "filter", "snappy"), blocks, total["n"] or 0, total["v"], total["m"] or 0.0)
+    # Each document has one end.
+    total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), middles.alias("m"), F.max(F.when(F.col("token") == "", F.col("c"))).alias("d")).first()
+    made = tables.write(build(entries, blocks), "filter", "snappy")
+    tables.drop(entries)
+    return Model(counts, made, blocks, total["n"] or 0, total["v"], total["m"] or 0.0, total["d"] or 0)
 
 
 def head_of(counts: DataFrame, words: int = HEAD_WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -289,31 +296,40 @@ def head_of(counts: DataFrame, words: int = HEAD_WORDS) -> tuple[np.ndarray, np.
     return hashes[order], c[order]
 
 
-def _slice(model: Model, first: int, many: int) -> Slice:
-    bits = np.zeros(many * (BLOCK // 8), np.uint8)
-    for r in model.filter.where((F.col("block") >= first) & (F.col("block") < first + many)).toLocalIterator():
-        at = (r["block"] - first) * (BLOCK // 8)
-        bits[at : at + BLOCK // 8] = np.frombuffer(r["bits"], np.uint8)
-    return Slice(model.blocks, first, bits)
+def _whole(model: Model) -> Slice:
+    """The filter, read to the driver block by block."""
+    bits = np.zeros(model.blocks * (BLOCK // 8), np.uint8)
+    for r in model.filter.toLocalIterator():
+        bits[r["block"] * (BLOCK // 8) : (r["block"] + 1) * (BLOCK // 8)] = np.frombuffer(r["bits"], np.uint8)
+    return Slice(model.blocks, 0, bits)
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", max_broadcast: int = MAX_BROADCAST, head_words: int = HEAD_WORDS) -> DataFrame:
+def score(docs: DataFrame, model: Model, tables: Tables, id_col: str = "doc_id", text_col: str = "text", max_broadcast: int = MAX_BROADCAST, head_words: int = HEAD_WORDS) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score: one row a document."""
     spark = docs.sparkSession
     denominator = model.tokens + 0.5 * (model.distinct + 1)
-    data = spark.sparkContext.broadcast(Score(*head_of(model.counts, head_words), denominator, model.level_total + 0.5 * (model.distinct + 1)))
+    data = spark.sparkContext.broadcast(Score(*head_of(model.counts, head_words), denominator, model.level_total + 0.5 * (model.distinct + 1), model.documents))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(F.col(text_col)).alias("text"))
-    many = max(1, max_broadcast // (BLOCK // 8))
-    cuts = list(range(0, model.blocks, many))
-    for first in cuts[:-1]:
-        rows = materialise(_found_so_far(rows, spark.sparkContext.broadcast(_slice(model, first, many))), "levels")
-    last = spark.sparkContext.broadcast(_slice(model, cuts[-1], model.blocks - cuts[-1]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups(_texts(batches)):
-            yield _score_group(group, last.value, data.value)
-
-    scored = materialise(rows.mapInArrow(run, _SCORED), "scored")
+    if model.blocks * (BLOCK // 8) <= max_broadcast:
+        part = spark.sparkContext.broadcast(_whole(model))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for group in groups(_texts(batches)):
+                yield _score_group(group, part.value.levels, data.value)
+
+        scored = tables.write(rows.mapInArrow(run, _SCORED), "scored")
+        part.unpersist()
+    else:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for doc_id, keys, levels, text in _texts(batches):
+                known, at = np.frombuffer(keys, ">u8").astype(_U), np.frombuffer(levels, np.uint8)
+                order = np.argsort(known)
+                known, at = known[order], at[order]
+                yield _score_group([(doc_id, text)], lambda asked, known=known, at=at: at[np.searchsorted(known, asked)], data.value)
+
+        scored = tables.write(_with_levels(rows, model, tables).mapInArrow(run, _SCORED), "scored")
+    data.unpersist()
     key = ["doc_id", "text_1", "text_2"]
     tails = scored.select(*key, F.size("tail").alias("of"), F.explode("tail").alias("t")).select(*key, "of", "t.token", "t.n")
     counted = tails.join(model.counts.withColumnRenamed("token", "token_c"), F.col("token") == F.col("token_c"), "left")
@@ -329,23 +345,56 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     )
 
 
-def _found_so_far(rows: DataFrame, part) -> DataFrame:
-    """doc_id, words, pairs, text: the levels found up to and in this slice."""
-    schema = pa.schema([("doc_id", pa.int64()), ("words", pa.binary()), ("pairs", pa.binary()), ("text", pa.string())])
+def _with_levels(rows: DataFrame, model: Model, tables: Tables) -> DataFrame:
+    """doc_id, keys, levels, text: ``rows`` with all their n-grams (64-bit numbers) and the levels (bytes) the filter has of them.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups(_texts(batches)):
-            tokens, begins, _ = _tokens([g[-1] for g in group])
-            levels = [_unique_levels(part.value, tokens), _unique_levels(part.value, _pairs(tokens, begins[:-1]))]
-            if len(group[0]) > 2:
-                levels = [np.maximum(x, np.frombuffer(b"".join(g[i] for g in group), np.uint8)) for i, x in enumerate(levels, 1)]
-            cut = [[x[a:b].tobytes() for a, b in zip(begins, begins[1:], strict=False)] for x in levels]
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in group], pa.int64()), pa.array(cut[0], pa.binary()), pa.array(cut[1], pa.binary()), pa.array([g[-1].decode("utf-8", "surrogatepass") for g in group])], schema=schema)
+    Texts are named by their tokens, so equal ones ask once. Distinct n-grams meet the blocks they are in; a block's share of
+    them is as bounded as its entries. An n-gram that many texts have is one row there, and its way back is a join that
+    can be split.
+    """
+    asked_schema = pa.schema([("text_1", pa.int64()), ("text_2", pa.int64()), ("h", pa.int64())])
+    named_schema = pa.schema([("doc_id", pa.int64()), ("text_1", pa.int64()), ("text_2", pa.int64()), ("text", pa.string())])
 
-    return rows.mapInArrow(run, "doc_id long, words binary, pairs binary, text string")
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (text,) in _texts(batches):
+            tokens, begins, _ = _tokens([text])
+            keys = np.unique(np.concatenate((tokens, _pairs(tokens, begins[:-1])))).view(np.int64)
+            one, two = _names(tokens, begins)
+            for i in range(0, len(keys), 100_000):
+                part = keys[i : i + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), x[0])) for x in (one, two)] + [pa.array(part)], schema=asked_schema)
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            tokens, begins, _ = _tokens([t.encode("utf-8", "surrogatepass") for t in texts])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.int64()) for x in _names(tokens, begins)], batch.column(1)], schema=named_schema)
+
+    blocks = model.blocks
+
+    def probe(asked: pa.Table, held: pa.Table) -> pa.Table:
+        keys = asked["h"].to_numpy()
+        levels = np.zeros(len(keys), np.uint8)
+        for b, bits in zip(held["block"].to_pylist(), held["bits"].to_pylist(), strict=True):
+            levels = np.maximum(levels, Slice(blocks, b, np.frombuffer(bits, np.uint8)).levels(keys.view(_U)))
+        return pa.table({"h": keys, "level": pa.array(levels.astype(np.int32))})
+
+    asked = tables.write(rows.select("text").mapInArrow(ask, "text_1 long, text_2 long, h long").distinct(), "asked", "snappy")
+    block = (F.shiftrightunsigned("h", 32) % blocks).alias("block")
+    found = asked.select("h").distinct().select(block, "h").groupBy("block").cogroup(model.filter.groupBy("block")).applyInArrow(probe, "h long, level int")
+    found = tables.write(found.withColumnRenamed("h", "h_f"), "found", "snappy")
+    both = asked.join(found, F.col("h") == F.col("h_f"))
+    packed = F.to_binary(F.array_join(F.transform("p", lambda x: F.lpad(F.hex(x["h"]), 16, "0")), ""), F.lit("hex"))
+    back = F.to_binary(F.array_join(F.transform("p", lambda x: F.lpad(F.hex(x["level"]), 2, "0")), ""), F.lit("hex"))
+    of_text = both.groupBy("text_1", "text_2").agg(F.collect_list(F.struct("h", "level")).alias("p"))
+    of_text = of_text.select(F.xxhash64("text_1", "text_2").alias("k"), F.col("text_1").alias("one"), F.col("text_2").alias("two"), packed.alias("keys"), back.alias("levels"))
+    named = rows.mapInArrow(name, "doc_id long, text_1 long, text_2 long, text string").withColumn("k_n", F.xxhash64("text_1", "text_2"))
+    return named.join(of_text, (F.col("k") == F.col("k_n")) & (F.col("text_1") == F.col("one")) & (F.col("text_2") == F.col("two"))).select("doc_id", "keys", "levels", "text")
 
 
 def train_and_score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``score`` with a model of the rows that ``learn`` holds for; with train_tokens."""
-    model = train(docs.where(learn & F.col(id_col).isNotNull()).select(text_or_empty(F.col(text_col)).alias("text")))
-    return score(docs, model, id_col, text_col, **options).withColumn("train_tokens", F.lit(model.tokens).cast("long"))
+    with Tables(docs.sparkSession) as tables:
+        model = train(docs.where(learn & F.col(id_col).isNotNull()).select(text_or_empty(F.col(text_col)).alias("text")), tables)
+        scored = score(docs, model, tables, id_col, text_col, **options).withColumn("train_tokens", F.lit(model.tokens).cast("long"))
+        return materialise(scored, "scores")

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import lm_bloom
@@ -29,7 +30,7 @@ def close(a, b):
     return math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9)
 
 
-def test_base_equals_brute_force_and_slices_agree(spark):
+def test_base_equals_brute_force_and_a_filter_too_large_to_broadcast_scores_alike(spark):
     texts = texts_of(spark)
     c = Counter(t for i, x in enumerate(texts) if not held(i) for t in tokens(x))
     n, v = sum(c.values()), len(c)
@@ -48,7 +49,7 @@ def test_base_equals_brute_force_and_slices_agree(spark):
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(t), sum(c[x] > 0 for x in t), n)
         assert close(r["base_score"], sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in t))
         assert -np.inf < r["score"] <= 0
-    small = {r["doc_id"]: r for r in lm_bloom.train_and_score(d, learn, max_broadcast=lm_bloom.BLOCK // 8).collect()}
+    small = {r["doc_id"]: r for r in lm_bloom.train_and_score(d, learn, head_words=500, max_broadcast=lm_bloom.BLOCK // 8).collect()}
     for r in whole:
         assert close(r["score"], small[r["doc_id"]]["score"]) and close(r["base_score"], small[r["doc_id"]]["base_score"])
 
@@ -58,7 +59,7 @@ def test_filter_reads_levels_back(spark):
     keys, levels = rng.integers(-(2**63), 2**63, 20_000), rng.integers(1, 12, 20_000)
     blocks = -(-int(levels.sum()) * lm_bloom.BITS_PER_ENTRY // lm_bloom.BLOCK)
     table = lm_bloom.build(spark.createDataFrame(zip(keys.tolist(), levels.tolist()), "h long, level int"), blocks)
-    part = lm_bloom._slice(lm_bloom.Model(None, table, blocks, 0, 0, 0.0), 0, blocks)
+    part = lm_bloom._whole(lm_bloom.Model(None, table, blocks, 0, 0, 0.0, 0))
     got = part.levels(keys.view(np.uint64))
     assert (got >= levels).all() and (got > levels).mean() < 0.03
     assert (part.levels(rng.integers(0, 2**63, 20_000).astype(np.uint64)) > 0).mean() < 0.03
@@ -71,14 +72,57 @@ def test_scores_beat_the_base_on_held_out_documents(spark):
     assert r["n"] > 100 and r["s"] > r["b"]
 
 
-def test_probabilities_sum_to_about_one():
-    # One history, all its followers: words seen 8 times each, the history 16 times, two pairs of it 4 times.
-    words = np.full(101, 4, np.uint8)
-    total = 100 * lm_bloom.level_middle(np.array([4.0]))[0] + 0.5 * 101
-    pairs = np.zeros(101, np.uint8)
-    pairs[1:3] = 3
-    p = [lm_bloom.probabilities(np.array([5, 4]), np.array([0, x]), np.array([0]), total)[1] for x in pairs[1:]]
-    assert 0.7 < sum(p) <= 1.0 and p[0] > p[-1] and len(words) == 101
+def level(c):
+    return int(c).bit_length()
+
+
+def middle(c):
+    return (2 ** (level(c) - 1) + 2 ** level(c) - 1) / 2 if c else 0.0
+
+
+def brute_score(text, words, pairs, documents, head):
+    """log10 of the model's probability of a text, from exact counts."""
+    total, out, before = sum(map(middle, words.values())) + 0.5 * (len(words) + 1), 0.0, None
+    for w in tokens(text):
+        c_v = documents if before is None else words[before]
+        seen = c_v if before is None or before in head else 2 ** level(c_v) - 1
+        at = min(level(pairs[before, w]), level(c_v), level(words[w]))
+        alone = (middle(words[w]) + 0.5) / total
+        out += math.log10(lm_bloom.WEIGHT * min(2 ** (at - 1) if at else 0, seen) / seen + (1 - lm_bloom.WEIGHT) * alone if seen else alone)
+        before = w
+    return out
+
+
+@pytest.mark.parametrize("head_words", [0, 1 << 17])
+def test_scores_equal_brute_force(spark, monkeypatch, head_words):
+    monkeypatch.setattr(lm_bloom, "BITS_PER_ENTRY", 200)  # next to no chance hits
+    texts = texts_of(spark)
+    words, pairs, documents = Counter(), Counter(), 0
+    for i, x in enumerate(texts):
+        if not held(i):
+            t = tokens(x)
+            words.update(t)
+            pairs.update(zip([None, *t], t, strict=False))
+            documents += 1
+    head = set(words) if head_words else set()
+    got = lm_bloom.train_and_score(docs(spark, texts), fold_remainder(F.col("doc_id"), 5) != 1, head_words=head_words).collect()
+    off = [r["doc_id"] for r in got if not math.isclose(r["score"], brute_score(texts[r["doc_id"]], words, pairs, documents, head), rel_tol=1e-9)]
+    assert len(got) == len(texts) and len(off) <= 1
+
+
+def test_probabilities_after_any_history_sum_to_one_at_most():
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        n = int(rng.integers(1, 60))
+        follows = rng.zipf(1.6, n).clip(0, 5000) * (rng.random(n) < 0.8)
+        words = follows + rng.integers(1, 20, n) * rng.integers(0, 2, n)
+        c_v = int(follows.sum()) + 1
+        total = sum(map(middle, words)) + 0.5 * (n + 1)
+        # Pairs count at least half of what they are, and a history that isn't known exactly up to twice.
+        for seen, least in ((c_v, 0.5), (2 ** level(c_v) - 1, 0.25)):
+            p = [lm_bloom.probabilities(np.array([level(c_v), level(w)]), np.array([0, level(c)]), np.array([0]), np.array([seen, 0.0]), 9, total)[1] for w, c in zip(words, follows, strict=True)]
+            unseen = lm_bloom.probabilities(np.array([level(c_v), 0]), np.array([0, 0]), np.array([0]), np.array([seen, 0.0]), 9, total)[1]
+            assert 1 - lm_bloom.WEIGHT * (1 - least * (c_v - 1) / c_v) - 1e-9 <= sum(p) + unseen <= 1 + 1e-9
 
 
 def test_empty(spark):
@@ -87,9 +131,17 @@ def test_empty(spark):
     assert (r["n_tokens"], r["n_known"], r["base_score"], r["score"]) == (3, 0, 0, 0)
 
 
-def test_pairs_seen_once_are_evidence(spark):
-    # Trained on "a b" and "c d": words seen once each, the end twice (middle 2.5).
-    d = docs(spark, ["a b", "c d", "a b", "a d"])
+def test_pairs_seen_once_are_evidence_and_twice_are_more(spark):
+    # Trained on two documents, "a b" and "c d": words seen once each, the end twice (middle 2.5).
+    d = docs(spark, ["a b", "c d", "a b", "a d", "c d"])
     got = {r["doc_id"]: r["score"] for r in lm_bloom.train_and_score(d, F.col("doc_id") < 2).collect()}
     alone = 1.5 / (4 + 2.5 + 0.5 * 6)
     assert close(got[2] - got[3], math.log10((0.3 + 0.7 * alone) / (0.7 * alone)))
+    twice = {r["doc_id"]: r["score"] for r in lm_bloom.train_and_score(d, F.col("doc_id").isin(0, 1, 4)).collect()}
+    assert twice[1] > twice[0]
+
+
+def test_one_text_in_very_many_rows(spark):
+    d = docs(spark, ["a b c"] * 3000 + ["a b d"])
+    got = lm_bloom.train_and_score(d, F.lit(True), max_broadcast=0).groupBy("n_tokens", "n_known", "score").count().collect()
+    assert sorted(r["count"] for r in got) == [1, 3000]
