@@ -1,7 +1,7 @@
 """License scan by ordered signature rules (DataFrame functions only, no shuffle).
 
-A keyword prefilter lets through the texts that can match at all. In those, every rule is tried at each word that is its
-keyword, on the next few words joined by blanks, so a text's cost is linear in its words. A detection is suppressed where
+A keyword prefilter, made from the rules' openings, lets through the texts that can match at all. In those, every rule is tried at
+each word that is its keyword, on as many words as the keyword's rules can match, so a text's cost is linear in its words. A detection is suppressed where
 another one covers its words and is at least as strong (or covers exactly them and comes first in the order), or overlaps
 them and is stronger. What remains gives the labels; the contract's base phrases are always kept.
 
@@ -17,7 +17,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.license_rules import BASE, LONGEST, WORD, Rule, gate, rules
+from millrace.llm.license_rules import BASE, WORD, Rule, gate, rules
 from millrace.llm.store import let
 from millrace.llm.text import ascii_lower, text_or_empty
 
@@ -28,37 +28,49 @@ def words_of(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(f"{WORD}+"), F.lit(0)), ascii_lower)
 
 
-def _rule_table(table: list[Rule]) -> str:
-    """The rules by keyword as JSON; one literal for the whole table keeps the plan small."""
-    by: dict[str, list[dict]] = {}
+def _by_keyword(table: list[Rule]) -> dict[str, dict]:
+    by: dict[str, dict] = {}
     for rank, r in enumerate(table):
-        by.setdefault(r.keyword, []).append({"rank": rank, "regex": f"^(?:{r.regex})(?= |$)", "label": r.label, "priority": r.priority, "weight": r.weight})
-    return json.dumps(by)
+        of = by.setdefault(r.opening[0], {"longest": 0, "rules": []})
+        of["longest"] = max(of["longest"], r.words)
+        of["rules"].append({"rank": rank, "regex": f"^(?:{r.regex})(?= |$)", "label": r.label, "priority": r.priority, "weight": r.weight})
+    return by
 
 
 def detections(words: Column, table: list[Rule]) -> Column:
     """All matches of all rules in an array of words, in order of their first word (counted from 0)."""
-    keywords = F.from_json(F.lit(_rule_table(table)), "map<string,array<struct<rank:int,regex:string,label:string,priority:int,weight:double>>>")
+    by = _by_keyword(table)
+    # One literal for the whole table keeps the plan small.
+    kind = "map<string,struct<longest:int,rules:array<struct<rank:int,regex:string,label:string,priority:int,weight:double>>>>"
+    keywords = F.from_json(F.lit(json.dumps(by)), kind)
 
     def at(i: Column) -> Column:
-        def tried(window: Column) -> Column:
-            def match(r: Column) -> Column:
-                stop = i + F.size(F.split(F.regexp_substr(window, r["regex"]), " "))
-                return F.struct(i.alias("start"), stop.alias("stop"), r["priority"].alias("priority"), r["rank"].alias("rank"), r["label"].alias("label"), r["weight"].alias("weight"))
+        def tried(of: Column) -> Column:
+            def in_window(window: Column) -> Column:
+                def match(r: Column) -> Column:
+                    stop = i + F.size(F.split(F.regexp_substr(window, r["regex"]), " "))
+                    return F.struct(i.alias("start"), stop.alias("stop"), r["priority"].alias("priority"), r["rank"].alias("rank"), r["label"].alias("label"), r["weight"].alias("weight"))
 
-            there = F.filter(F.element_at(keywords, F.get(words, i)), lambda r: F.rlike(window, r["regex"]))
-            return F.transform(there, match)
+                return F.transform(F.filter(of["rules"], lambda r: F.rlike(window, r["regex"])), match)
 
-        return let(F.array_join(F.slice(words, i + 1, LONGEST), " "), tried)
+            return let(F.array_join(F.slice(words, i + 1, of["longest"]), " "), in_window)
 
-    known = F.lit(sorted({r.keyword for r in table}))
+        return let(F.element_at(keywords, F.get(words, i)), tried)
+
+    known = F.lit(sorted(by))
     starts = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.array_contains(known, F.get(words, i)))
     return F.when(F.size(words) > 0, F.flatten(F.transform(starts, at))).otherwise(F.array()).cast(_DETECTION)
 
 
-def unsuppressed(found: Column) -> Column:
-    """Detections that no other one suppresses. Matches are short and sorted by start, so only near ones are compared."""
-    near = 64
+def reach(table: list[Rule]) -> int:
+    """How many places apart, in the order of their first words, two overlapping detections can be: they begin less than the
+    longest match apart, and at a word no more rules match than share a keyword."""
+    by = _by_keyword(table).values()
+    return max((of["longest"] for of in by), default=0) * max((len(of["rules"]) for of in by), default=0)
+
+
+def unsuppressed(found: Column, near: int) -> Column:
+    """Detections that no other one suppresses. ``near``: the ``reach`` of the rules, past which none overlaps."""
 
     def stays(d: Column, j: Column) -> Column:
         def suppresses(o: Column) -> Column:
@@ -76,20 +88,21 @@ def unsuppressed(found: Column) -> Column:
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table: list[Rule] | None = None) -> DataFrame:
     """One row a document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, detections (the
     unsuppressed ones, as word spans with label and weight)."""
-    table = table or rules()
-    base_ranks = F.lit([next(i for i, r in enumerate(table) if (r.regex, r.label) == base) for base in BASE.items()])
+    table = rules() if table is None else table
+    opens, near = gate(table), reach(table)
+    base_ranks = F.lit([i for i, r in enumerate(table) if BASE.get(r.regex) == r.label]).cast("array<int>")
 
     def judged(words: Column) -> Column:
         def of(found: Column) -> Column:
             own = F.filter(found, lambda d: F.array_contains(base_ranks, d["rank"]))
-            return F.struct(F.size(words).cast("bigint").alias("n_words"), own.alias("base"), unsuppressed(found).alias("found"))
+            return F.struct(F.size(words).cast("bigint").alias("n_words"), own.alias("base"), unsuppressed(found, near).alias("found"))
 
         return let(detections(words, table), of)
 
     text = text_or_empty(F.col(text_col))
     nothing = F.array().cast(_DETECTION)
     plain = F.struct(F.regexp_count(text, F.lit(f"{WORD}+")).cast("bigint").alias("n_words"), nothing.alias("base"), nothing.alias("found"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.when(text.rlike(gate()), let(words_of(text), judged)).otherwise(plain).alias("r"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.when(text.rlike(opens), let(words_of(text), judged)).otherwise(plain).alias("r"))
     label = lambda c: F.transform(c, lambda d: d["label"])
     joined = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
     first, last = F.array_min(F.transform("r.base", lambda d: d["start"])), F.array_max(F.transform("r.base", lambda d: d["start"]))

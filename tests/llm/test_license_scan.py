@@ -1,6 +1,8 @@
 import re
 
-from millrace.llm.license_rules import BASE, gate, rules
+import pytest
+
+from millrace.llm.license_rules import BASE, Rule, rules
 from millrace.llm.license_scan import license_scan
 from tests.llm.helpers import SF, by_id, docs
 
@@ -33,14 +35,63 @@ def test_labels_and_suppression(spark):
     assert got[3]["score"] == 0 and got[0]["score"] == 1
 
 
-def test_the_gate_lets_every_rule_through(spark):
-    assert len(rules()) > 300
-    opens = re.compile(gate().replace("(?i)", ""), re.I | re.A)
-    for rule in rules():
-        sample = re.sub(r"\[\^? ?(.)[^\]]*\]", r"\1", re.sub(r"\([^()]*\)\?", "", rule.regex)).replace("s?", "")
-        sample = re.sub(r"\(([^|()]*)\|?[^()]*\)", r"\1", sample).replace("  ", " ")
-        assert re.match(rule.regex, sample), (rule, sample)
-        assert opens.search(sample), (rule, sample)
+def brute_labels(text, table):
+    """Every rule at every word; each detection against all others."""
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words, found = WORDS.findall(low), []
+    for i in range(len(words)):
+        rest = " ".join(words[i : i + 60])
+        for rank, r in enumerate(table):
+            if rest.startswith(r.regex[:2]) and (m := re.match(f"(?:{r.regex})(?= |$)", rest)):
+                found.append((i, i + len(m[0].split(" ")), r.priority, rank, r.label, r.weight))
+
+    def suppressed(d, o):
+        same, covers, inside = d[:2] == o[:2], o[0] <= d[0] and o[1] >= d[1], o[0] >= d[0] and o[1] <= d[1]
+        if same:
+            return (o[2], o[3]) < (d[2], d[3])
+        return covers and o[2] <= d[2] or not covers and not inside and o[0] < d[1] and o[1] > d[0] and o[2] < d[2]
+
+    stay = [d for d in found if not any(suppressed(d, o) for o in found)]
+    base = {d[4] for d in found if BASE.get(table[d[3]].regex) == d[4]}
+    return ",".join(sorted({d[4] for d in stay} | base)), max((d[5] for d in stay), default=0.0)
+
+
+def sample_of(regex):
+    """A text that a rule's regex matches, with its optional parts left out."""
+    made = re.sub(r"\([^()]*\)\?|[a-z]\?| \?", "", regex.replace("( [^ ]+)?", "").replace("(ative)?", ""))
+    made = made.replace("[^ ]+", "acme").replace("[cs]", "c").replace("[0-9]", "7")
+    return re.sub(r"\(([^|()]*)\|?[^()]*\)", r"\1", made)
+
+
+def test_every_rule_passes_the_gate_and_equals_brute_force(spark):
+    table = rules()
+    assert len(table) > 300 and len({r.regex for r in table}) == len(table)
+    samples = [sample_of(r.regex) for r in table]
+    for r, sample in zip(table, samples, strict=True):
+        assert re.fullmatch(r.regex, sample), (r, sample)
+        assert len(sample.split()) <= r.words
+    texts = [f"{t.title()}, {u}" for t, u in zip(samples, samples[1:] + samples[:1], strict=True)] + samples + ["; ".join(samples)] + ["mit license gnu gpl v2 " * 400]
+    got = by_id(license_scan(docs(spark, texts)))
+    for i, t in enumerate(texts):
+        labels, score = brute_labels(t, table)
+        assert (got[i]["labels"], got[i]["score"]) == (labels, score), t[:200]
+
+
+def test_a_table_of_ones_own(spark):
+    table = [Rule("acmecorp terms of use", "acme", 1, 0.9), Rule("acmecorp", "acme-name", 2, 0.2), Rule("begin( [^ ]+){0,30} end", "span", 3, 0.5, longest=32)]
+    got = by_id(license_scan(docs(spark, ["the AcmeCorp terms of use", "acmecorp", "mit license", "begin " + "x " * 30 + "end", "begin " + "x " * 31 + "end"]), table=table))
+    assert [got[i]["labels"] for i in range(5)] == ["acme", "acme-name", "", "span", ""]
+    assert got[2]["n_base"] == 0 and license_scan(docs(spark, ["a"]), table=[]).count() == 1
+    for bad in ("(a|b) c", "a( b)* c"):
+        with pytest.raises(ValueError):
+            license_scan(docs(spark, ["a"]), table=[Rule(bad, "x", 1, 1.0)])
+
+
+def test_ties_repeats_and_null_ids(spark):
+    table = [Rule("one two", "first", 1, 0.5), Rule("one( two)", "second", 1, 0.6), Rule("two three", "weaker", 2, 0.7)]
+    d = docs(spark, ["one two three"] * 3).selectExpr("if(doc_id = 2, null, 1) as doc_id", "text")
+    got = [(r["doc_id"], r["labels"], r["score"]) for r in license_scan(d, table=table).collect()]
+    assert sorted(got, key=str) == [(1, "first", 0.5), (1, "first", 0.5), (None, "first", 0.5)]
 
 
 def test_empty_table_and_clashing_columns(spark):
