@@ -1,27 +1,32 @@
 """Document fingerprints by order MinHash (DataFrame functions only).
 
-A text's k-mers of words are numbered by occurrence, so that repeats count, and each numbered k-mer is hashed. The hashes are
+A text's k-mers of units are numbered by occurrence, so that repeats count, and each numbered k-mer is hashed. The hashes are
 dealt to ``bins`` by their leading bits; in each bin the ``per_bin`` least stay, are put back in text order and hashed as a
 tuple. Two texts agree in a bin only where the same k-mers come in the same order, so the likeness follows edit distance
-rather than the set of words. One hash serves all bins, so a text costs two sorts of its k-mers.
+rather than the set of words. One hash serves all bins, so a text costs two sorts of its k-mers. Tuple hashes have 32 bits: two
+unlike tuples of a bin agree by chance once in 2^32.
+
+Units are the words between white space. A word of more than ``LONG_WORD`` characters, as scripts without blanks, long
+identifiers and minified code have, gives its overlapping runs of ``RUN`` characters instead, so an edit in it changes the
+units around it alone.
 
 Edge cases: a null text counts as empty; a text without words has the empty fingerprint, and two of those are alike (1); a
-text of fewer words than ``k`` is one k-mer; texts of any length are read whole (past 2^24 words places wrap around, which
-keeps equal texts equal). Rows that repeat a doc_id follow each other in the order of their texts; null ids come last in
-descending order; an empty table gives an empty result. Other columns are ignored.
+text of fewer units than ``k`` is one k-mer; texts of any length are read whole (past 2^24 units places wrap around, which
+keeps equal texts equal). Documents are ordered by descending doc_id, then by a hash of the text; null ids come last. Rows that
+repeat a doc_id with its text are one document, and get equal rows; a single document follows itself. An empty table gives an
+empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.store import let
+from millrace.llm.store import Tables, let, materialise, partitions
 from millrace.llm.text import SPACE, text_or_empty
 
 K, PER_BIN, BIN_BITS = 2, 2, 6
+LONG_WORD, RUN = 24, 4
 #: Low bits of a packed number, which hold the place in the text.
 _PLACE_BITS = 24
 _PLACE, _HASH = (1 << _PLACE_BITS) - 1, (1 << 64 - _PLACE_BITS) - 1
@@ -74,6 +79,20 @@ def _tuples(values: Column, bin_bits: int, per_bin: int) -> Column:
     return let(_run_starts(values, 64 - bin_bits), words)
 
 
+def units(text: Column) -> Column:
+    """Words, long ones as their overlapping runs of characters."""
+
+    def runs(word: Column) -> Column:
+        chars = F.regexp_extract_all(word, F.lit("(?s)."), F.lit(0))
+        return let(chars, lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - RUN), lambda i: F.concat(*[F.get(c, i + j) for j in range(RUN)])))
+
+    def cut(words: Column) -> Column:
+        long = lambda w: F.length(w) > LONG_WORD
+        return F.when(F.exists(words, long), F.flatten(F.transform(words, lambda w: F.when(long(w), runs(w)).otherwise(F.array(w))))).otherwise(words)
+
+    return let(F.array_remove(F.split(text, f"[{SPACE}]+"), ""), cut)
+
+
 def fingerprint(text: Column, k: int = K, bin_bits: int = BIN_BITS, per_bin: int = PER_BIN) -> Column:
     """The fingerprint of a non-null text: words of a bin's number and hash, joined by blanks."""
 
@@ -82,7 +101,7 @@ def fingerprint(text: Column, k: int = K, bin_bits: int = BIN_BITS, per_bin: int
         made = F.array_join(F.array_sort(let(numbered, lambda v: _tuples(v, bin_bits, per_bin))), " ")
         return F.when(F.size(words) > 0, made).otherwise("")
 
-    return let(F.array_remove(F.split(text, f"[{SPACE}]+"), ""), of)
+    return let(units(text), of)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -92,43 +111,25 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).otherwise(F.size(F.array_intersect(one, two)) / F.size(F.array_union(bins(one), bins(two))))
 
 
-def _literal(values: list, kind: str) -> Column:
-    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+def neighbours(rows: DataFrame, order: list[str], carry: list[str], tables: Tables) -> DataFrame:
+    """``order``, the same columns as ``next_...`` and ``carry`` as ``next_...``: each row of ``rows`` (distinct in ``order``) with
+    the next in descending order, nulls last; the first follows the last.
 
-
-def with_next(rows: DataFrame, id_col: str, order: list[str], carry: list[str], target: int = 128, most: int = 4096) -> DataFrame:
-    """``rows`` with ``next_<c>`` for each of ``carry``: the values of the next row in descending order of the id (then
-    ``order``); after the last comes the first.
-
-    Ids are cut at quantiles to at most ``most`` ranges of about ``target`` rows, and each range gets a copy of the first row of
-    the range below it; so rows move once, and no task sees more than its ranges. Bounds and firsts, at most ``most`` numbers
-    each, pass through the driver.
+    Meant for ids, not texts: rows are sorted into ranges, and the last of a range takes the first of the next one from a
+    table of one row a range.
     """
-    ids = rows.select(F.col(id_col).alias("i"))
-    ranges = max(1, min(most, ids.count() // target))
-    quantiles = ids.agg(F.percentile_approx("i", [x / ranges for x in range(1, ranges)], 10 * ranges).alias("q")).first()["q"] if ranges > 1 else []
-    bounds = sorted(set(quantiles or []))
-    step = max(1, int(len(bounds) ** 0.5))
-    fine = [bounds[i : i + step] for i in range(0, len(bounds) + 1, step)]
-    coarse = _literal([part[-1] for part in fine if len(part) == step], "bigint")
-
-    def range_of(i: Column) -> Column:
-        below = lambda c: F.coalesce(F.size(F.filter(c, lambda b: b <= i)), F.lit(0))
-        return let(below(coarse), lambda at: at * step + below(F.coalesce(F.get(_literal(fine, "array<bigint>"), at), F.array().cast("array<bigint>"))))
-
-    firsts = sorted((r["p"], r["i"]) for r in ids.groupBy(range_of(F.col("i")).alias("p")).agg(F.max("i").alias("i")).collect())
-    count = len(bounds) + 1
-    first, to = [None] * count, [None] * count
-    for (p, i), (above, _) in zip(firsts, [*firsts[1:], *firsts[:1]], strict=True):
-        first[p], to[p] = i, above
-    dealt = rows.withColumn("_p", range_of(F.col(id_col)))
-    sent = F.get(_literal(to, "int"), F.col("_p"))
-    own = F.struct(F.col("_p").alias("p"), F.lit(True).alias("own"))
-    copies = F.when(F.col(id_col).eqNullSafe(F.get(_literal(first, "bigint"), F.col("_p"))), F.array(own, F.struct(sent.alias("p"), F.lit(False).alias("own")))).otherwise(F.array(own))
-    copied = dealt.withColumn("_to", F.explode(copies)).select(*rows.columns, "_to.p", "_to.own")
-    # A copy from below sorts after all of a range's own rows; the lowest range gets its copy from the highest.
-    by = Window.partitionBy("p").orderBy(F.col("own").desc(), F.col(id_col).desc_nulls_last(), *[F.col(c).desc_nulls_last() for c in order])
-    return copied.select("*", *[F.lead(c).over(by).alias(f"next_{c}") for c in carry]).where("own").drop("p", "own")
+    by = [F.col(c).desc_nulls_last() for c in order]
+    columns = [*order, *carry]
+    ranged = rows.select(*columns).repartitionByRange(partitions(rows.sparkSession), *by).withColumn("part", F.spark_partition_id())
+    ranged = tables.write(ranged, "ranged", "snappy")
+    place = F.row_number().over(Window.partitionBy("part").orderBy(*by))
+    found = ranged.withColumn("here", place).withColumn("then", F.lead(F.struct(*columns)).over(Window.partitionBy("part").orderBy(*by)))
+    firsts = tables.write(found.where("here = 1").select("part", F.struct(*columns).alias("first")), "firsts", "snappy")
+    around = Window.orderBy("part")  # one row a range
+    after = F.coalesce(F.lead("first").over(around), F.first("first").over(around))
+    firsts = firsts.select(F.col("part").alias("part_f"), after.alias("first"))
+    made = found.join(firsts, F.col("part") == F.col("part_f")).withColumn("then", F.coalesce("then", "first"))
+    return made.select(*columns, *[F.col(f"then.{c}").alias(f"next_{c}") for c in columns])
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -143,11 +144,35 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def edit_sensitivity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next: one row a document."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next: one row a document.
+
+    Which document follows which is found on ids alone. Then texts are dealt out by id once, and of each text as many first
+    characters as the document before it replaces go to that one, with the fingerprint.
+    """
+    with Tables(docs.sparkSession) as tables:
+        return materialise(_sensitivity(docs, id_col, text_col, tables), "edits", "snappy")
+
+
+def _sensitivity(docs: DataFrame, id_col: str, text_col: str, tables: Tables) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(F.col(text_col)).alias("text"))
-    rows = rows.withColumn("fingerprint", fingerprint(F.col("text")))
-    both = with_next(rows, "doc_id", ["text"], ["text", "fingerprint"]).withColumn("edited", edited(F.col("text"), F.col("next_text")))
-    made = both.withColumn("edited_fingerprint", fingerprint(F.col("edited")))
+    named = rows.withColumn("digest", F.xxhash64("text"))
+    ids = named.groupBy("doc_id", "digest").agg(F.floor(F.max(F.length("text")) / 2).cast("int").alias("half"), F.count("*").alias("rows"))
+    links = tables.write(neighbours(ids, ["doc_id", "digest"], ["half", "rows"], tables), "links", "snappy")
+    # A text's name, by which texts and links are dealt out.
+    key = lambda i, d: F.xxhash64(F.coalesce(i.cast("string"), F.lit("")), i.isNull(), d)
+    same = lambda i, d, j, e: i.eqNullSafe(j) & (d == e)
+    before = links.select(key(F.col("next_doc_id"), F.col("next_digest")).alias("k_l"), *[F.col(c).alias(f"{c}_l") for c in ("doc_id", "digest", "half", "next_doc_id", "next_digest")])
+    keyed = named.withColumn("k", key(F.col("doc_id"), F.col("digest")))
+    of = keyed.join(before, (F.col("k") == F.col("k_l")) & same(F.col("doc_id"), F.col("digest"), F.col("next_doc_id_l"), F.col("next_digest_l")))
+    sent = of.select(
+        key(F.col("doc_id_l"), F.col("digest_l")).alias("k_s"), F.col("doc_id_l").alias("doc_id_s"), F.col("digest_l").alias("digest_s"),
+        F.substring(F.col("text"), F.lit(1), F.col("half_l")).alias("head"), fingerprint(F.col("text")).alias("next_fingerprint"),
+    )
+    if not links.where("rows > 1").isEmpty():
+        sent = sent.dropDuplicates(["k_s", "doc_id_s", "digest_s"])
+    both = keyed.join(sent, (F.col("k") == F.col("k_s")) & same(F.col("doc_id"), F.col("digest"), F.col("doc_id_s"), F.col("digest_s")))
+    made = both.withColumns({"fingerprint": fingerprint(F.col("text")), "edited": edited(F.col("text"), F.col("head"))})
+    made = made.withColumn("edited_fingerprint", fingerprint(F.col("edited")))
     return made.select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
