@@ -7,7 +7,7 @@ equal when the lists are. Texts are shuffled once, as distinct chunks per task;
 
 Edge cases: null text counts as empty; empty (and all-space) texts are one group; any length of text is cut into
 chunks of at most ``max_chunk`` characters. Rows that repeat a doc_id with equal text get one decision each, and equal
-ones; ``exact_dedup_rows`` leaves a single row of them. A null doc_id sorts after all others, and ``exact_dedup_rows``
+ones; ``exact_dedup_rows`` leaves a single row of them. A doc_id with several texts is judged for each of them. A null doc_id sorts after all others, and ``exact_dedup_rows``
 leaves rows with one alone. An empty table gives an empty result. Other columns of the input are ignored here.
 """
 
@@ -23,8 +23,11 @@ MIN_CHUNK, MAX_CHUNK = 256, 2048
 
 
 def boundary_class(residue: int) -> str:
-    """Regex class of the Latin-1 characters that leave ``residue`` modulo 16."""
-    return "[" + "".join(f"\\u{c:04x}" for c in range(0x21, 0x100) if c % 16 == residue) + "]"
+    """Regex class of characters, about one in 16 of any script: up to Thai, and of kana, those that leave ``residue`` modulo 16; of
+    the large scripts above, those whose code's middle half-byte is ``residue``. Other scripts are only tried past Latin-1."""
+    single = lambda lo, hi: "".join(f"\\u{c:04x}" for c in range(lo, hi) if c % 16 == residue)
+    runs = "".join(f"\\u{c + 16 * residue:04x}-\\u{c + 16 * residue + 15:04x}" for lo, hi in ((0x4E00, 0xA000), (0xAC00, 0xD700)) for c in range(lo, hi, 0x100))
+    return f"[{single(0x21, 0x100)}[\\u0100-\\uffff&&[{single(0x100, 0xF00)}{single(0x3000, 0x3100)}{runs}]]]"
 
 
 def chunk_pattern(min_chunk: int = MIN_CHUNK, max_chunk: int = MAX_CHUNK) -> str:
@@ -93,13 +96,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def exact_dedup_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **sizes: int) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns unchanged. Texts don't move: the ids that go are taken away."""
+    """The rows of ``docs`` that stay, all columns unchanged. Texts don't move: the ids that go are taken away. Only rows of an
+    id that stands in several are told apart by their texts."""
     judged = materialise(exact_dedup(docs, id_col, text_col, **sizes), "judged")
     key = docs[id_col]
     gone = judged.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, key == F.col("_gone"), "left_anti")
-    again = judged.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("_again")).count().where("count > 1").select("_again")
+    again = judged.where("doc_id is not null").groupBy(F.col("doc_id").alias("_again")).count().where("count > 1").select("_again")
     if again.isEmpty():
-        return left
-    single = left.join(again, key == F.col("_again"), "left_semi").dropDuplicates([id_col])
-    return left.join(again, key == F.col("_again"), "left_anti").unionByName(single)
+        return docs.join(gone, key == gone["_gone"], "left_anti")
+    alone = docs.join(again, key == again["_again"], "left_anti").join(gone, key == gone["_gone"], "left_anti")
+    digest = F.sha2(without_space(text_or_empty(F.col(text_col))).cast("binary"), 256)
+    several = docs.join(again, key == again["_again"], "left_semi").withColumn("_text_sha256_", digest)
+    stay = judged.where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept"), F.col("text_sha256").alias("_kept_sha256")).distinct()
+    single = several.join(stay, (key == stay["_kept"]) & (several["_text_sha256_"] == stay["_kept_sha256"]), "left_semi").dropDuplicates([id_col, "_text_sha256_"])
+    return alone.unionByName(single.drop("_text_sha256_"))

@@ -1,9 +1,11 @@
 import hashlib
+import random
 import re
 from collections import defaultdict
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from millrace.llm import exact_dedup
 from tests.llm.helpers import SF, by_id, docs
@@ -48,9 +50,22 @@ def test_chunks_are_content_defined(spark):
 
 
 def test_identifiers_are_verified(spark, monkeypatch):
-    from pyspark.sql import functions as F
-
     monkeypatch.setattr(exact_dedup, "chunk_id", lambda c, salt: [F.lit(1).cast("long"), F.lit(1).cast("long")] if salt < 2 else [F.xxhash64(c), F.lit(0).cast("long")])
     d = docs(spark, ["one", "two", "one "])
     assert exact_dedup.verified_salt(d, "text") == 2
     assert {i: r["keep_id"] for i, r in by_id(exact_dedup.exact_dedup(d)).items()} == {0: 2, 1: 1, 2: 2}
+
+
+def test_an_id_with_several_texts_loses_only_copies(spark):
+    d = docs(spark, ["one text", "one  text", "other", "only here", "other"]).selectExpr("case doc_id when 1 then 7 when 3 then 7 else doc_id end as doc_id", "text", "n_chars as _again")
+    kept = sorted((r["doc_id"], r["text"]) for r in exact_dedup.exact_dedup_rows(d).collect())
+    assert kept == [(2, "other"), (7, "one  text"), (7, "only here")]
+
+
+def test_chunks_of_large_scripts_follow_their_content(spark):
+    rng = random.Random(5)
+    for lo, hi in ((0x4E00, 0x9FA5), (0xAC00, 0xD7A3), (0x0430, 0x0450), (0x3041, 0x3096), (0x0905, 0x0939)):
+        text = "".join(chr(rng.randrange(lo, hi)) for _ in range(9_000))
+        rows = docs(spark, [text, "字" * 37 + text]).select(exact_dedup.chunks(F.col("text")).alias("c")).collect()
+        one, two = (set(r["c"]) for r in rows)
+        assert len(one & two) > 0.5 * len(one) and len(one) > 8
