@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import mixing
-from millrace.llm.store import materialise, partitions
+from millrace.llm.store import Tables, materialise, partitions
 from millrace.llm.tokens import END_ID, WIDTH, document_ids
 
 SIZE = 2048
@@ -33,6 +33,8 @@ SIZE = 2048
 FILLER_EVERY = 8
 #: Sequences that are packed together where an order is kept.
 WINDOW = 128
+#: Keys of a table of starts whose sums reach the driver as one.
+_RUN = 1 << 16
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 _CUT = "doc_id long, source string, cuts array<struct<start:long,length:long,ids_crc32:long>>, doc_tokens long"
 _FILLED = "window long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, number long, offset long"
@@ -170,29 +172,35 @@ def fill(lengths: np.ndarray, at: np.ndarray, size: int = SIZE) -> tuple[np.ndar
     return number[sequence], offsets
 
 
-def _starts(totals: DataFrame, key: str, kind: str) -> DataFrame:
-    """key_s, before: what the keys before each add up to. ``totals``: one row a key and its ``n``, a small table."""
+def _starts(totals: DataFrame, key: str) -> DataFrame:
+    """key_s, before: what the keys (whole numbers, once each) before each add up to in ``n``. The driver sees one sum for every
+    ``_RUN`` keys; within such a run a window adds up."""
+    runs = totals.withColumn("run", F.floor(F.col(key) / _RUN).cast("long"))
     rows, before = [], 0
-    for k, n in sorted(tuple(r) for r in totals.select(key, "n").collect()):
+    for k, n in sorted(tuple(r) for r in runs.groupBy("run").agg(F.sum("n")).collect()):
         rows.append((k, before))
         before += n
-    return F.broadcast(totals.sparkSession.createDataFrame(rows, f"key_s {kind}, before long"))
+    of_runs = totals.sparkSession.createDataFrame(rows, "run_s long, before_run long")
+    inside = F.sum("n").over(Window.partitionBy("run").orderBy(key).rowsBetween(Window.unboundedPreceding, -1))
+    summed = runs.withColumn("inside", F.coalesce(inside, F.lit(0))).join(F.broadcast(of_runs), F.col("run") == F.col("run_s"))
+    return summed.select(F.col(key).alias("key_s"), (F.col("before_run") + F.col("inside")).alias("before"))
 
 
 def pack_mixed(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: int = SIZE, end_id: int = END_ID, window: int = WINDOW, **mix) -> DataFrame:
     """The columns of ``pack``; sequence ids follow the order of ``mixing.mix`` (with the options ``mix``), window by window."""
-    cut = materialise(_cuts(docs, path, id_col, text_col, source_col, size, end_id), "cuts")
-    placed = mixing.mix(cut, keep=("cuts", "doc_tokens"), **mix).repartitionByRange(partitions(docs.sparkSession), "slot", "source_rank").sortWithinPartitions("slot", "source_rank")
-    found = placed.select(F.spark_partition_id().alias("part"), "doc_id", F.explode("_row.cuts").alias("c"), F.col("_row.doc_tokens").alias("doc_tokens")).select("part", "doc_id", "c.*", "doc_tokens")
-    found = materialise(found.mapInArrow(_tokens_before, "part int, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, at long"), "pieces")
-    at = F.col("at") + F.col("before")
-    found = found.join(_starts(found.groupBy("part").agg(F.sum("length").alias("n")), "part", "int"), F.col("part") == F.col("key_s")).withColumn("at", at).drop("part", "key_s", "before")
-
-    def run(table: pa.Table) -> pa.Table:
-        number, offset = fill(table["length"].to_numpy(), table["at"].to_numpy(), size)
-        return table.drop_columns(["at"]).append_column("number", pa.array(number)).append_column("offset", pa.array(offset))
-
-    windows = found.select(F.floor(F.col("at") / (size * window)).cast("long").alias("window"), "doc_id", "start", "length", "ids_crc32", "doc_tokens", "at")
-    filled = materialise(windows.groupBy("window").applyInArrow(run, _FILLED), "filled")
-    joined = filled.join(_starts(filled.groupBy("window").agg((F.max("number") + 1).alias("n")), "window", "long"), F.col("window") == F.col("key_s"))
-    return joined.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("before") + F.col("number")).alias("sequence_id"), "offset")
+    with Tables(docs.sparkSession) as tables:
+        cut = tables.write(_cuts(docs, path, id_col, text_col, source_col, size, end_id), "cuts")
+        placed = mixing.mix(cut, keep=("cuts", "doc_tokens"), **mix).repartitionByRange(partitions(docs.sparkSession), "slot", "source_rank").sortWithinPartitions("slot", "source_rank")
+        found = placed.select(F.spark_partition_id().alias("part"), "doc_id", F.explode("_row.cuts").alias("c"), F.col("_row.doc_tokens").alias("doc_tokens")).select("part", "doc_id", "c.*", "doc_tokens")
+        found = tables.write(found.mapInArrow(_tokens_before, "part int, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, at long"), "pieces")
+        at = F.col("at") + F.col("before")
+        found = found.join(_starts(found.groupBy("part").agg(F.sum("length").alias("n")), "part"), F.col("part") == F.col("key_s")).withColumn("at", at).drop("part", "key_s", "before")
+
+        def run(table: pa.Table) -> pa.Table:
+            number, offset = fill(table["length"].to_numpy(), table["at"].to_numpy(), size)
+            return table.drop_columns(["at"]).append_column("number", pa.array(number)).append_column("offset", pa.array(offset))
+
+        windows = found.select(F.floor(F.col("at") / (size * window)).cast("long").alias("window"), "doc_id", "start", "length", "ids_crc32", "doc_tokens", "at")
+        filled = materialise(windows.groupBy("window").applyInArrow(run, _FILLED), "filled")
+        joined = filled.join(_starts(filled.groupBy("window").agg((F.max("number") + 1).alias("n")), "window"), F.col("window") == F.col("key_s"))
+        return joined.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("before") + F.col("number")).alias("sequence_id"), "offset")

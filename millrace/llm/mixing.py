@@ -6,8 +6,9 @@ deadline gets the slot. So after any number of slots each source is less than on
 has documents; a source that runs dry leaves its slots empty, and all documents of all sources are kept.
 
 The driver makes the schedule of all blocks from the exact weights, as whole numbers without rounding, so the deviation stays
-below one block however many documents there are. It holds one block a source and writes ``CHUNK`` blocks at a time, in time
-that grows with documents / ``block_docs``. Where ``period`` is given, shares are rounded to whole slots of it and one period's
+below one block however many documents there are. It holds one block a source and writes ``CHUNK`` blocks at a time. A block
+has ``block_docs`` documents, or more where there would be over ``max_blocks`` blocks, which bounds the driver's time: the mix
+is as fine as one part in ``max_blocks`` of all documents. Where ``period`` is given, shares are rounded to whole slots of it and one period's
 schedule is repeated instead. Documents are ranked within their source by counting over hash buckets; no source meets in one task.
 
 Edge cases: a null source is a source of its own; texts and other columns play no part; rows that repeat a doc_id each get a
@@ -35,6 +36,8 @@ MAX_SOURCES = 50_000
 BLOCK_DOCS = 16
 #: Blocks of the schedule that the driver holds at once.
 CHUNK = 1 << 18
+#: Blocks of a schedule at most.
+MAX_BLOCKS = 1 << 22
 #: Target shares are the sources' counts to this power, where no weights are given.
 TEMPERATURE = 0.5
 _SLOT = pa.schema([("key_s", pa.string()), ("k_s", pa.int64()), ("slot_s", pa.int64()), ("release_s", pa.int64()), ("deadline_s", pa.int64())])
@@ -91,7 +94,7 @@ def schedule_all(weights: dict[str, float], blocks: dict[str, int]) -> Iterator[
             heapq.heappush(waiting, ((k + 1) * total // whole[s], s, k + 1))
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_docs: int = BLOCK_DOCS, period: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_docs: int = BLOCK_DOCS, max_blocks: int = MAX_BLOCKS, period: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, source_rank, block, release, deadline, slot (and the struct ``_row`` of columns to keep).
 
     In the order of slot and source_rank the sources are mixed to their weights. ``weights``: by source; those it doesn't name
@@ -110,6 +113,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col:
         targets = {s: n**TEMPERATURE for s, n in counts.items()}
     shares = slots_of(targets, max(period, 8 * len(counts))) if period and counts else {}
     span = sum(shares.values())
+    block_docs = max(block_docs, -(-sum(counts.values()) // max_blocks))
     blocks = {s: -(-n // block_docs) for s, n in counts.items()}
     rows_of = schedule(shares) if period else schedule_all(targets, blocks)
     chunks = [materialise(spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), _SLOT, strict=True)], schema=_SLOT)), "slots") for part in batched(rows_of, CHUNK)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bestfit_packing, exact_dedup, histogram_packing, lang_id, license_scan, lm_bloom, minhash_dedup, mixing, order_minhash, url_filter
+from millrace.llm import bestfit_packing, exact_dedup, histogram_packing, lang_id, license_scan, lm_bloom, minhash_dedup, mixing, oracles, order_minhash, url_filter
 from millrace.llm.bpe import tokenizer_path
 from millrace.llm.text import fold_remainder
 
@@ -19,7 +19,7 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.filter_urls(_table(spark, sf_dir, "pages"))
+    return url_filter.filter_urls(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op3_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +60,25 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.edit_sensitivity(_table(spark, sf_dir, "documents"))
 
 
+# What SQL can say of the queries above that it can't express whole, from the same operators.
+
+
+def folds_of_op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_language_id(spark, sf_dir).select("doc_id", "held_out", (F.col("lang_pred") == "und").alias("without_letters"))
+
+
+def base_of_op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_bloom_lm(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+def base_of_op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def edits_of_op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_order_minhash(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_url_filter": op2_url_filter,
@@ -71,16 +90,18 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_source_mixing": op9_source_mixing,
     "op10_order_minhash": op10_order_minhash,
+    "folds_of_op4": folds_of_op4,
+    "base_of_op5": base_of_op5,
+    "base_of_op8": base_of_op8,
+    "edits_of_op10": edits_of_op10,
 }
 
 ORACLE_SQL = {
-    "op1_exact_dedup": r"""
-        WITH d AS (
-            SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm
-            FROM documents
-        )
-        SELECT doc_id, first_value(doc_id) OVER g AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
-            doc_id = first_value(doc_id) OVER g AS kept, sha256(norm) AS text_sha256
-        FROM d WINDOW g AS (PARTITION BY norm ORDER BY chars DESC, doc_id)
-    """,
+    "op1_exact_dedup": oracles.EXACT,
+    "op2_url_filter": oracles.urls(),
+    "op7_minhash_dedup": oracles.NEAR,
+    "folds_of_op4": oracles.FOLDS,
+    "base_of_op5": oracles.BASE_COUNTS,
+    "base_of_op8": oracles.BASE_PHRASES,
+    "edits_of_op10": oracles.EDITS,
 }

@@ -78,3 +78,29 @@ def test_deviation_does_not_grow_over_many_periods(spark):
         done[source] += 1
         assert all(done[s] == n or abs(done[s] - (slot + 1) * n**0.5 / total) < 1 + 1e-6 for s, n in (("s00", counts["s00"]), (source, counts[source])))
     assert done == Counter(counts)
+
+
+def test_weights_down_to_a_millionth_over_200_sources():
+    weights = {"s000": 1.0, **{f"s{i:03}": 10.0 ** -(1 + i % 6) for i in range(1, 200)}}
+    total, done = sum(Fraction(w) for w in weights.values()), Counter()
+    for n, (source, k, slot, *_) in enumerate(mixing.schedule_all(weights, {s: 100_000 if s == "s000" else 50 for s in weights})):
+        done[source] = k + 1
+        assert all(done[s] == 50 or abs(done[s] - (slot + 1) * Fraction(weights[s]) / total) < 1 for s in ("s000", source, f"s{slot % 199 + 1:03}"))
+        if n == 5_000:
+            break
+
+
+def test_blocks_grow_where_there_would_be_too_many(spark):
+    got = mixing.mix(docs(spark, ["t"] * 1_000, sources=["a"] * 900 + ["b"] * 100), block_docs=1, max_blocks=100).collect()
+    assert {r["block"] for r in got if r["source"] == "a"} == set(range(90)) and {r["source_rank"] // 10 for r in got} == set(range(90))
+    assert all(r["block"] == r["source_rank"] // 10 for r in got) and len(got) == 1_000
+
+
+def test_repeated_and_null_ids_and_ties(spark):
+    d = docs(spark, ["t"] * 60, sources=["a", "b", None] * 20).selectExpr("if(doc_id % 2 = 0, null, 7) as doc_id", "source", "1 as source_rank", "2 as _row")
+    got = mixing.mix(d, weights={"a": 1, "b": 1, None: 1}, block_docs=2).collect()
+    assert len(got) == 60 and Counter(r["doc_id"] for r in got) == {None: 30, 7: 30}
+    for s in ("a", "b", None):
+        assert sorted(r["source_rank"] for r in got if r["source"] == s) == list(range(20))
+    # Equal weights are a tie in every slot: blocks of the three take turns.
+    assert all(len({r["source"] for r in got if r["slot"] // 3 == k}) == 3 for k in range(10))

@@ -115,3 +115,26 @@ def test_matrices_round_trip(spark, tokenizer, tmp_path):
     for i, t in enumerate(texts):
         assert sum((found[i][s] for s in sorted(found[i])), []) == ids_of(tokenizer, t)
     assert bestfit_packing.matrices(docs(spark, []), tokenizer_path()).count() == 0
+
+
+def test_null_and_repeated_ids_and_clashing_columns(spark, tokenizer):
+    texts = ["one two three", "word " * 5000, None, "one two three"]
+    d = docs(spark, texts).selectExpr("if(doc_id = 0, null, if(doc_id = 3, 1, doc_id)) as doc_id", "text", "source", "1 as length", "2 as sequence_id", "3 as cuts", "4 as window")
+    want = sorted([len(ids_of(tokenizer, t)) for t in texts] * 2)
+    for rows in (histogram_packing.pack(d.union(d), tokenizer_path()).collect(), histogram_packing.pack_mixed(d.union(d), tokenizer_path()).collect()):
+        assert sorted(r["doc_tokens"] for r in rows if r["start"] == 0) == want and sum(r["length"] for r in rows) == sum(want)
+        spans = defaultdict(list)
+        for r in rows:
+            spans[r["sequence_id"]].append((r["offset"], r["length"]))
+        for parts in spans.values():
+            assert [a for a, _ in sorted(parts)] == [0, *np.cumsum([n for _, n in sorted(parts)])[:-1]]
+    found = bestfit_packing.matrices(d.union(d), tokenizer_path(), block_tokens=3_000).collect()
+    assert sum(r["n_tokens"] for r in found) == sum(want) and sum(r["doc_ids"].count(None) for r in found) == 2
+    assert sum(n for r in found for n in np.diff(r["cu_seqlens"])) == sum(want)
+
+
+def test_starts_of_many_keys(spark, monkeypatch):
+    monkeypatch.setattr(histogram_packing, "_RUN", 8)
+    totals = spark.range(0, 100, 3).selectExpr("id", "id % 7 + 1 as n")
+    got = {r["key_s"]: r["before"] for r in histogram_packing._starts(totals, "id").collect()}
+    assert got == {k: sum(j % 7 + 1 for j in range(0, k, 3)) for k in range(0, 100, 3)}

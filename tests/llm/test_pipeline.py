@@ -59,3 +59,20 @@ def test_the_mix_reaches_the_sequences(spark):
     first = {r["doc_id"] for r in rows if r["sequence_id"] < histogram_packing.WINDOW}
     b = sum(sources[i] == "b" for i in first)
     assert len(first) > 300 and abs(b / len(first) - 0.25) < 0.04
+
+
+def test_an_empty_table_repeated_rows_and_clashing_columns(spark, tmp_path):
+    spark.createDataFrame([], docs(spark, []).schema).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(WORDS) for _ in range(60)) for _ in range(20)]
+    d = docs(spark, [*texts, None, ""], sources=["a", None] * 11)
+    odd = d.union(d).selectExpr("*", "1 as _row", "2 as _text", "3 as _p", "4 as id", "5 as slot", "6 as kept", "7 as score", "8 as rep")
+    odd.write.parquet(str(tmp_path / "odd" / "documents.parquet"))
+    now = spark.read.parquet(str(tmp_path / "odd" / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = materialise(stage(spark, now, SF), name)
+        assert now.columns == odd.columns
+    assert sorted(r["doc_id"] for r in now.collect()) == list(range(20))
+    rows = corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()
+    assert sorted(r["doc_id"] for r in rows if r["start"] == 0) == list(range(20))
