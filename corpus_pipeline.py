@@ -1,6 +1,9 @@
 """A corpus from raw documents to packed sequences: language ID, exact dedup, near dedup, mixing, packing.
 
-Every stage works on all that the one before it kept. Stages before the last return the columns of ``documents``.
+Every stage works on all that the one before it kept. Stages before the last return the columns of ``documents``, and others that
+the input has. Null and empty texts have no language and go in the first stage, as do texts without a letter and those whose
+n-grams no labelled language has; repeated rows of a document leave one, by exact dedup; a null doc_id or source is kept like others;
+an empty table gives an empty result. The operators' docstrings say the rest.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import exact_dedup, histogram_packing, lang_id, minhash_dedup, mixing
 from millrace.llm.bpe import tokenizer_path
-from millrace.llm.store import materialise
+from millrace.llm.store import Tables
 
 #: Documents with a lower language score share next to nothing with any language learned.
 LEAST_LANGUAGE_SCORE = 0.05
@@ -61,8 +64,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows over ``documents``; what each stage returns is written in the shared folder for the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows over ``documents``; what each stage returns is written in the shared folder for the next, and what it
+    read goes then."""
+    tables, docs = Tables(spark), spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        kept = tables.write(stage(spark, docs, sf_dir), name)
+        tables.drop(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
