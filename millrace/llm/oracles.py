@@ -97,8 +97,8 @@ NEAR = rf"""
         SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN []::varchar[] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g FROM w
     ), e AS MATERIALIZED (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
     links AS MATERIALIZED (
-        SELECT a, b FROM (SELECT p.doc_id AS a, q.doc_id AS b, any_value(p.n) AS m, any_value(q.n) AS n, count(*) AS both FROM e p JOIN e q ON p.x = q.x AND p.doc_id <> q.doc_id GROUP BY 1, 2)
-        WHERE 100 * both >= 80 * (m + n - both)
+        SELECT a, b FROM (SELECT p.doc_id AS a, q.doc_id AS b, any_value(p.n) AS m, any_value(q.n) AS n, count(*) AS common FROM e p JOIN e q ON p.x = q.x AND p.doc_id <> q.doc_id GROUP BY 1, 2)
+        WHERE 100 * common >= 80 * (m + n - common)
     ), reach AS (SELECT doc_id AS id, doc_id AS root FROM documents UNION SELECT b, root FROM reach JOIN links ON a = id)
     SELECT doc_id, len(g)::bigint AS n_shingles, min(root) AS component_id, doc_id = min(root) AS kept FROM s JOIN reach ON id = doc_id GROUP BY doc_id, g
 """
@@ -107,9 +107,9 @@ _PHRASES = "[{'p': ['gnu', 'general', 'public', 'license'], 'l': 'gpl'}, {'p': [
 #: The places and labels of the four phrases.
 BASE_PHRASES = rf"""
     WITH d AS (SELECT doc_id, regexp_extract_all({_low("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-    f AS (SELECT doc_id, w, x.l AS label, unnest(list_filter(range(len(w)), lambda i: w[i + 1:i + len(x.p)] = x.p)) AS at FROM (SELECT doc_id, w, unnest({_PHRASES}) AS x FROM d))
-    SELECT doc_id, len(d.w)::bigint AS n_words, count(at) AS n_base, min(at)::bigint AS first_word, max(at)::bigint AS last_word, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS base_labels
-    FROM d LEFT JOIN (SELECT doc_id, label, at FROM f) f USING (doc_id) GROUP BY doc_id, d.w
+    f AS (SELECT doc_id, w, x.l AS label, unnest(list_filter(range(len(w)), lambda i: w[i + 1:i + len(x.p)] = x.p)) AS place FROM (SELECT doc_id, w, unnest({_PHRASES}) AS x FROM d))
+    SELECT doc_id, len(d.w)::bigint AS n_words, count(place) AS n_base, coalesce(min(place), -1)::bigint AS first_word, coalesce(max(place), -1)::bigint AS last_word, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS base_labels
+    FROM d LEFT JOIN (SELECT doc_id, label, place FROM f) f USING (doc_id) GROUP BY doc_id, d.w
 """
 
 EDITS = """

@@ -72,7 +72,7 @@ def base_of_op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def base_of_op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op8_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+    return op8_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", *[F.coalesce(c, F.lit(-1)).cast("long").alias(c) for c in ("first_word", "last_word")], "base_labels")
 
 
 def edits_of_op10(spark: SparkSession, sf_dir: str) -> DataFrame:
