@@ -8,7 +8,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from millrace.metrics import phases
+from millrace.metrics import phases, splits
 from millrace.plans import programs
 from millrace.session import session
 
@@ -20,6 +20,7 @@ def main(argv: list[str] | None = None) -> None:
     top.add_argument("--threads", type=int)
     top.add_argument("--log-level", default="WARN")
     top.add_argument("--stats", action="store_true", help="a JSON line on stderr for each stage that ran")
+    top.add_argument("--list-inputs", action="store_true", help="the first 100 input files on stderr")
     sub = top.add_subparsers(dest="program", required=True)
     for name in ("wordcount", "wordcount-parquet", "sort-tsv"):
         p = sub.add_parser(name)
@@ -44,6 +45,10 @@ def main(argv: list[str] | None = None) -> None:
         p.add_argument("--output", required=True)
     a = top.parse_args(argv)
     spark = session(master=a.master, reducers=a.reducers, threads=a.threads, log_level=a.log_level)
+    if a.list_inputs:
+        given = [getattr(a, n, None) for n in ("input", "searches", "pages", "doc_input")]
+        for name in splits(spark, [p for g in given if g for x in ([g] if isinstance(g, str) else g) for p in x.split(",")]):
+            print(name, file=sys.stderr)
     ran: list[dict] = []
     with phases(spark, ran):
         _run(spark, a)

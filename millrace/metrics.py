@@ -10,6 +10,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.sources import paths
+
 
 def counted(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
     """``df`` and an observation of its rows, readable after an action."""
@@ -24,9 +26,10 @@ def timed(into: dict[str, float], name: str) -> Iterator[None]:
     into[name] = time.perf_counter() - began
 
 
-def splits(df: DataFrame, most: int = 100) -> list[str]:
-    """The first files that a plan reads, in the order of their paths."""
-    return sorted(df.inputFiles())[:most]
+def splits(spark: SparkSession, path: str | list[str], most: int = 100) -> list[str]:
+    """The first files under the paths, in their order, as readers see them."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths(path)).inputFiles()
+    return sorted(files)[:most]
 
 
 @contextmanager

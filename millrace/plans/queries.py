@@ -414,6 +414,30 @@ def program_wordcount_parquet(spark: SparkSession, d: str) -> DataFrame:
     return parquet_rows(spark, out)
 
 
+def _file_each(folder: str, number: int):  # noqa: ANN202
+    def put(row: tuple | None) -> None:
+        from pyarrow import fs
+
+        if row is None:
+            return
+        files, top = fs.FileSystem.from_uri(folder)
+        files.create_dir(f"{top}/{row[0] % 3}", recursive=True)
+        with files.open_output_stream(f"{top}/{row[0] % 3}/{row[0]}.txt") as out:
+            out.write(bytes(row[1]))
+
+    return put
+
+
+@_query("SELECT n_name AS value FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT '' FROM nation WHERE n_nationkey % 2 = 0")
+def strict_utf8_files(spark: SparkSession, d: str) -> DataFrame:
+    """Files in nested folders, with CR LF and blank lines; those that aren't valid UTF-8 give no line."""
+    out = _scratch(spark)
+    out = out if "://" in out else f"file://{out.removeprefix('file:')}"
+    content = F.concat(F.encode(F.col("n_name"), "UTF-8"), F.expr("X'0D0A0A'"), F.when(F.col("n_nationkey") % 2 == 0, F.expr("X''")).otherwise(F.expr("X'FF'")))
+    plugins.write(_table(spark, d, "nation", "n_nationkey", "n_name").select("n_nationkey", content.alias("raw")), out, "files", _file_each)
+    return text_lines(spark, out, strict_utf8=True)
+
+
 _UUID = "regexp_replace(md5({0}::varchar), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5')"
 _FOUND = f"SELECT o_orderpriority AS query, {_UUID.format('c_custkey')} AS page_uuid, o_orderkey % 256 AS position, c_name AS body FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_custkey % 3 <> 0"
 

@@ -84,6 +84,7 @@ def test_stage_table_and_stats(spark, tmp_path, capsys):
     (tmp_path / "s.jsonl").write_text(json.dumps({"query": "q1", "page_uuid": U + "1", "position": 2}) + "\n")
     (tmp_path / "p.jsonl").write_text(json.dumps({"page_uuid": U + "1", "body": "one"}) + "\n")
     for keep in ([], ["--keep-stage"]):
-        cli.main(["--stats", "--threads", "2", "join-nested", "--searches", str(tmp_path / "s.jsonl"), "--pages", str(tmp_path / "p.jsonl"), "--output", str(tmp_path / "out"), "--stage", str(tmp_path / "stage"), *keep])
+        cli.main(["--stats", "--list-inputs", "--threads", "2", "join-nested", "--searches", str(tmp_path / "s.jsonl"), "--pages", str(tmp_path / "p.jsonl"), "--output", str(tmp_path / "out"), "--stage", str(tmp_path / "stage"), *keep])
         assert [json.loads(x)["query"] for x in lines(tmp_path / "out")] == ["q1"] and (tmp_path / "stage").exists() == bool(keep)
-    assert any(json.loads(x)["rows_out"] == 1 for x in capsys.readouterr().err.splitlines() if x.startswith("{"))
+    said = capsys.readouterr().err.splitlines()
+    assert any(json.loads(x)["rows_out"] == 1 for x in said if x.startswith("{")) and sum(x.endswith("s.jsonl") for x in said) == 2
