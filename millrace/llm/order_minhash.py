@@ -149,15 +149,11 @@ def edit_sensitivity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Which document follows which is found on ids alone. Then texts are dealt out by id once, and of each text as many first
     characters as the document before it replaces go to that one, with the fingerprint.
     """
-    with Tables(docs.sparkSession) as tables:
-        return materialise(_sensitivity(docs, id_col, text_col, tables), "edits", "snappy")
-
-
-def _sensitivity(docs: DataFrame, id_col: str, text_col: str, tables: Tables) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(F.col(text_col)).alias("text"))
     named = rows.withColumn("digest", F.xxhash64("text"))
     ids = named.groupBy("doc_id", "digest").agg(F.floor(F.max(F.length("text")) / 2).cast("int").alias("half"), F.count("*").alias("rows"))
-    links = tables.write(neighbours(ids, ["doc_id", "digest"], ["half", "rows"], tables), "links", "snappy")
+    with Tables(docs.sparkSession) as tables:
+        links = materialise(neighbours(ids, ["doc_id", "digest"], ["half", "rows"], tables), "links", "snappy")
     # A text's name, by which texts and links are dealt out.
     key = lambda i, d: F.xxhash64(F.coalesce(i.cast("string"), F.lit("")), i.isNull(), d)
     same = lambda i, d, j, e: i.eqNullSafe(j) & (d == e)
