@@ -17,8 +17,8 @@ def sample_pairs(
     Rows up to ``max_positive`` are positives; of the rest, those from ``min_negative`` are negatives. The choice is by the
     md5 of the seed and the ``tie`` columns, so it is repeatable whatever the partitions. Query and country are those of
     the group's least row by ``tie``, whatever its position. Rows without country or body don't count; empty ones do, but
-    for empty countries under ``drop_empty_country``. ``rows`` is read once: each row stands for its side and for its group's
-    query, and tasks cut what they have of a group to N rows of each before the shuffle.
+    for empty countries under ``drop_empty_country``. Tasks cut what they have of a group to N rows a side before the
+    shuffle.
     """
     tie = tie or [position, body]
     rows = rows.where(F.col(country).isNotNull() & F.col(body).isNotNull())
@@ -26,20 +26,18 @@ def sample_pairs(
         rows = rows.where(F.length(country) > 0)
     side = F.when(F.col(position) <= max_positive, F.lit("p")).when(F.col(position) >= min_negative, F.lit("n"))
     draw = F.md5(F.concat_ws("|", F.lit(seed), *[F.col(t).cast("string") for t in tie]).cast("binary"))
-    order, meta = F.struct(*tie), F.struct(F.col(query).alias("q"), F.col(country).alias("c"))
-    none = lambda c, df=rows: F.lit(None).cast(df.select(c).schema[0].dataType)
-    drawn = F.struct(side.alias("side"), draw.alias("draw"), F.col(body).alias("body"), none(order).alias("tie"), none(meta).alias("meta"))
-    asked = F.struct(F.lit("q").alias("side"), F.lit(None).cast("string").alias("draw"), none(F.col(body)).alias("body"), order.alias("tie"), meta.alias("meta"))
-    each = rows.select(F.col(group).alias("g"), F.explode(F.array(drawn, asked)).alias("x")).select("g", "x.*").where("side is not null")
-    rank = F.row_number().over(Window.partitionBy("g", "side").orderBy("draw", "body", "tie", "meta"))
+    keyed = rows.select(F.col(group).alias("g"), side.alias("side"), draw.alias("draw"), F.col(body).alias("body"))
+    rank = F.row_number().over(Window.partitionBy("g", "side").orderBy("draw", "body"))
     # The first bound is a plain number, which Spark takes into the tasks before the shuffle.
-    chosen = each.withColumn("rank", rank).where(F.col("rank") <= max(1, negatives)).where((F.col("side") == "n") & (F.col("rank") <= negatives) | (F.col("rank") == 1) & (F.col("side") != "n"))
+    chosen = keyed.where("side is not null").withColumn("rank", rank).where(F.col("rank") <= max(1, negatives)).where(F.col("rank") <= F.when(F.col("side") == "p", 1).otherwise(negatives))
     picked = chosen.groupBy("g").agg(
         F.max(F.when(F.col("side") == "p", F.col("body"))).alias("pos_doc"),
         F.transform(F.sort_array(F.collect_list(F.when(F.col("side") == "n", F.struct("rank", "body")))), lambda x: x["body"]).alias("neg_doc"),
-        F.max("meta").alias("m"),
     )
-    return picked.where("pos_doc is not null").select("neg_doc", "pos_doc", F.concat("m.q", F.lit("\n"), "m.c").alias("query"))
+    # A second read of ``rows``: an aggregate that combines before the shuffle is cheaper than sorting every row twice.
+    meta = rows.groupBy(F.col(group).alias("g_m")).agg(F.min_by(F.struct(F.col(query).alias("q"), F.col(country).alias("c")), F.struct(*tie)).alias("m"))
+    joined = picked.where("pos_doc is not null").join(meta, F.col("g") == F.col("g_m"))
+    return joined.select("neg_doc", "pos_doc", F.concat("m.q", F.lit("\n"), "m.c").alias("query"))
 
 
 def sample_pairs_joined(rows: DataFrame, docs: DataFrame, key: str = "page_uuid", body: str = "body_full", country: str = "country", **options) -> DataFrame:
