@@ -7,13 +7,18 @@ words of a text hit; only new units go to the tokenizer.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import json
 import os
 import re
+import sys
 from array import array
 
+import pyarrow as pa
+
 #: Units in either generation of a worker's cache, and the longest unit (characters) that is kept: the bound of its size.
-CACHE_UNITS = 400_000
+CACHE_UNITS = 200_000
 CACHE_CHARS = 48
 _SPACES = re.compile(r"\s\s|^\s|\s$")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -96,3 +101,14 @@ def encoder(path: str) -> Encoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
+
+
+def forget() -> None:
+    """Free what ``encoder`` keeps. Other operators call it where their tasks begin: a worker that packed before would hold
+    the vocabulary and its units (over 100 MB) beside what they need."""
+    if _ENCODERS:
+        _ENCODERS.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import mixing
-from millrace.llm.store import Tables, materialise, partitions
+from millrace.llm.store import Tables, materialise, partitions, small
 from millrace.llm.tokens import END_ID, WIDTH, document_ids
 
 SIZE = 2048
@@ -120,7 +120,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     rows = plan(histogram, size)
     buckets = max(64, sum(histogram.values()) // 20_000)
     # The plan has a row for each run of sequences that a length meets: it grows with ``size``, not with the documents.
-    placed = spark.createDataFrame(rows, "length_p long, lo long, hi long, first long, offset long")
+    placed = small(spark, rows, pa.schema([(n, pa.int64()) for n in ("length_p", "lo", "hi", "first", "offset")]))
     on = (F.col("length") == F.col("length_p")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
     joined = ranked(found, buckets).join(F.broadcast(placed), on)
     return joined.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("first") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset")
@@ -180,7 +180,7 @@ def _starts(totals: DataFrame, key: str) -> DataFrame:
     for k, n in sorted(tuple(r) for r in runs.groupBy("run").agg(F.sum("n")).collect()):
         rows.append((k, before))
         before += n
-    of_runs = totals.sparkSession.createDataFrame(rows, "run_s long, before_run long")
+    of_runs = small(totals.sparkSession, rows, pa.schema([("run_s", pa.int64()), ("before_run", pa.int64())]))
     inside = F.sum("n").over(Window.partitionBy("run").orderBy(key).rowsBetween(Window.unboundedPreceding, -1))
     summed = runs.withColumn("inside", F.coalesce(inside, F.lit(0))).join(F.broadcast(of_runs), F.col("run") == F.col("run_s"))
     return summed.select(F.col(key).alias("key_s"), (F.col("before_run") + F.col("inside")).alias("before"))

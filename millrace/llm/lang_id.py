@@ -31,6 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from millrace.llm.bpe import forget
+
 PER_LANG = 300
 LANDMARKS_PER_LANG, MAX_LANDMARKS = 40, 2048
 MAX_LANGS = 256
@@ -222,6 +224,7 @@ def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: s
     held = [f for f in rows.schema if f.name != "_text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         scorer = Scorer(model.value) if model.value else None
         for batch in batches:
             at = batch.schema.get_field_index("_text")

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm.bpe import forget
 from millrace.llm.components import components
 from millrace.llm.hashing import groups, mixed, words_of
 from millrace.llm.joins import keyed
@@ -98,6 +99,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame
     """doc_id, n_shingles, set_1 and set_2 (128 bits that name the set), signature (packed low bits), bands (keys)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         a, b = _functions()
         for group in groups(_texts(batches)):
             hashes, begins, *_ = words_of([t for _, t in group])
@@ -115,6 +117,7 @@ def shingle_sets(rows: DataFrame, words: int) -> DataFrame:
     """id, shingles (distinct 64-bit hashes) of rows (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for group in groups(_texts(batches)):
             hashes, begins, *_ = words_of([t for _, t in group])
             made = [s.view(np.int64) for s in _sets(hashes, begins, words)]

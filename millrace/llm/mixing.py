@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.ranking import ranked
-from millrace.llm.store import materialise
+from millrace.llm.store import materialise, small
 
 MAX_SOURCES = 50_000
 BLOCK_DOCS = 16
@@ -116,11 +116,11 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col:
     block_docs = max(block_docs, -(-sum(counts.values()) // max_blocks))
     blocks = {s: -(-n // block_docs) for s, n in counts.items()}
     rows_of = schedule(shares) if period else schedule_all(targets, blocks)
-    chunks = [materialise(spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), _SLOT, strict=True)], schema=_SLOT)), "slots") for part in batched(rows_of, CHUNK)]
-    table = reduce(DataFrame.unionAll, chunks) if chunks else spark.createDataFrame([], "key_s string, k_s long, slot_s long, release_s long, deadline_s long")
+    chunks = [materialise(small(spark, part, _SLOT), "slots") for part in batched(rows_of, CHUNK)]
+    table = reduce(DataFrame.unionAll, chunks) if chunks else small(spark, [], _SLOT)
     placed = ranked(rows, "_key", ["doc_id"], ["doc_id"], max(64, sum(counts.values()) // 20_000), "source_rank")
     # The block's number within the schedule: all of them, or one period's share.
-    sizes = spark.createDataFrame(sorted((shares or blocks).items()), "key_n string, n long")
+    sizes = small(spark, sorted((shares or blocks).items()), pa.schema([("key_n", pa.string()), ("n", pa.int64())]))
     placed = placed.join(F.broadcast(sizes), F.col("_key") == F.col("key_n")).withColumn("block", F.floor(F.col("source_rank") / block_docs))
     placed = placed.withColumn("k", F.col("block") % F.col("n")).withColumn("_past", F.floor(F.col("block") / F.col("n")) * span)
     made = placed.join(table, (F.col("_key") == F.col("key_s")) & (F.col("k") == F.col("k_s")))

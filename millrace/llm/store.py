@@ -6,6 +6,7 @@ import os
 import uuid
 from types import TracebackType
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,5 +76,11 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def small(spark: SparkSession, rows: list[tuple], schema: pa.Schema) -> DataFrame:
+    """A few rows of the driver. They go by Arrow: a list of tuples takes Python workers of another kind, which then stay."""
+    columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -76,3 +76,47 @@ def test_an_empty_table_repeated_rows_and_clashing_columns(spark, tmp_path):
     assert sorted(r["doc_id"] for r in now.collect()) == list(range(20))
     rows = corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()
     assert sorted(r["doc_id"] for r in rows if r["start"] == 0) == list(range(20))
+
+
+def test_workers_that_packed_hold_no_vocabulary_in_other_stages(spark):
+    import pyarrow as pa
+
+    from millrace.llm import lang_id, minhash_dedup
+    from millrace.llm.bpe import _ENCODERS, encoder, tokenizer_path
+
+    def held(operator):
+        encoder(tokenizer_path())
+        batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["a b c d e f"], "_text": ["a b c"]})
+        operator(iter([batch]))
+        return len(_ENCODERS)
+
+    class Rows:
+        """Runs what an operator would run in a worker."""
+
+        def __getattr__(self, name):
+            return lambda *a, **b: self
+
+        def mapInArrow(self, run, *_):
+            self.run = run
+            return self
+
+    rows = Rows()
+    minhash_dedup.shingle_sets(rows, 5)
+    assert held(lambda b: list(rows.run(b))) == 0
+    d = docs(spark, ["a b c d e f"])
+    for build in (lambda: minhash_dedup.signed(d, "doc_id", "text", 5), lambda: lang_id.identify(d, d["doc_id"] >= 0)):
+        found, kept = [], type(d).mapInArrow
+        type(d).mapInArrow = lambda self, run, *a, found=found, kept=kept, **b: found.append(run) or kept(self, run, *a, **b)
+        try:
+            build()
+        finally:
+            type(d).mapInArrow = kept
+        assert held(lambda b, found=found: list(found[0](b))) == 0
+
+
+def test_small_tables_of_the_driver_take_no_python_worker(spark):
+    from millrace.llm import mixing
+
+    totals = materialise(spark.range(3).selectExpr("id", "id as n"), "totals")
+    for df in (mixing.mix(spark.read.parquet(f"{SF}/documents.parquet")), histogram_packing._starts(totals, "id")):
+        assert "LogicalRDD" not in df._jdf.queryExecution().optimizedPlan().toString()
