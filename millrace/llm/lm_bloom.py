@@ -12,8 +12,8 @@ lacks. So the probabilities that follow a history add up to 1 at most, but for c
 back. All pairs are held, those seen once too.
 
 The filter has ``BITS_PER_ENTRY`` bits an entry, so it grows with the corpus. Its blocks are built where their entries meet. Up
-to ``MAX_BROADCAST`` bytes it is broadcast. A larger one stays in its table: the distinct n-grams of the texts are sent to
-their blocks, probed there, and their levels come back to the texts by joins, to the same scores.
+to ``MAX_BROADCAST`` bytes it is broadcast. A larger one stays in its table: the distinct n-grams of some megabytes of texts are
+sent to their blocks, probed there, and their levels come back to the texts by a join, to the same scores.
 
 The base score needs exact counts. Words of up to ``HEAD_CHARS`` bytes that are so frequent that at most ``HEAD_WORDS`` are
 as frequent are broadcast with their counts; all other words go with their document's key through a join.
@@ -25,6 +25,7 @@ are 0 and both scores are sums of log10 1 = 0. An empty table gives an empty res
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -34,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.hashing import groups, mixed, words_of
-from millrace.llm.store import Tables, materialise
+from millrace.llm.store import Tables, materialise, partitions
 from millrace.llm.text import SPACE, ascii_lower, text_or_empty
 
 WEIGHT = 0.3
@@ -42,6 +43,8 @@ BITS_PER_ENTRY, PROBES = 12, 4
 #: Bits of a block, in which all probes of an n-gram stay.
 BLOCK = 1 << 19
 MAX_BROADCAST = 256 << 20
+#: Where the filter isn't broadcast: blocks that a task holds at once, and bytes of the texts that ask together.
+SLICE_BLOCKS, GROUP_BYTES = 64, 8 << 20
 HEAD_WORDS, HEAD_CHARS = 1 << 17, 64
 #: Entries that are set in the filter's blocks at once.
 _ENTER_AT = 1 << 18
@@ -267,6 +270,8 @@ def train(texts: DataFrame, tables: Tables) -> Model:
     counts = tables.write(texts.select(F.explode(tokens_of(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("c")), "counts")
     level = (F.floor(F.log2("c")) + 1).cast("int")
     entries = tables.write(word_hashes(counts).unionAll(pair_counts(texts)).select("h", level.alias("level")), "entries", "snappy")
+    # The shuffle files of the counts go before the filter's are written.
+    tables.drop()
     size = entries.agg(F.sum("level").alias("n")).first()["n"] or 0
     blocks = max(1, -(-size * BITS_PER_ENTRY // BLOCK))
     middles = F.sum((F.pow(2.0, level - 1) + F.pow(2.0, level) - 1) / 2)
@@ -320,15 +325,7 @@ def score(docs: DataFrame, model: Model, tables: Tables, id_col: str = "doc_id",
         scored = tables.write(rows.mapInArrow(run, _SCORED), "scored")
         part.unpersist()
     else:
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for doc_id, keys, levels, text in _texts(batches):
-                known, at = np.frombuffer(keys, ">u8").astype(_U), np.frombuffer(levels, np.uint8)
-                order = np.argsort(known)
-                known, at = known[order], at[order]
-                yield _score_group([(doc_id, text)], lambda asked, known=known, at=at: at[np.searchsorted(known, asked)], data.value)
-
-        scored = tables.write(_with_levels(rows, model, tables).mapInArrow(run, _SCORED), "scored")
+        scored = _by_joins(rows, model, tables, lambda group, levels: _score_group(group, levels, data.value))
     data.unpersist()
     key = ["doc_id", "text_1", "text_2"]
     tails = scored.select(*key, F.size("tail").alias("of"), F.explode("tail").alias("t")).select(*key, "of", "t.token", "t.n")
@@ -345,51 +342,89 @@ def score(docs: DataFrame, model: Model, tables: Tables, id_col: str = "doc_id",
     )
 
 
-def _with_levels(rows: DataFrame, model: Model, tables: Tables) -> DataFrame:
-    """doc_id, keys, levels, text: ``rows`` with all their n-grams (64-bit numbers) and the levels (bytes) the filter has of them.
+def _keys(texts: list[bytes]) -> np.ndarray:
+    """The distinct n-grams of some texts, sorted."""
+    found = []
+    for group in groups((t,) for t in texts):
+        tokens, begins, _ = _tokens([t for (t,) in group])
+        found += [np.unique(tokens), np.unique(_pairs(tokens, begins[:-1]))]
+    return np.unique(np.concatenate(found))
+
+
+def _slices(keys: np.ndarray, blocks: int, many: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Slices, of ``many`` blocks each, of the filter that keys are in, with the places of those keys."""
+    of = _block(keys, blocks) // many
+    order = np.argsort(of, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
+        yield int(of[at[0]]), at
 
-    Texts are named by their tokens, so equal ones ask once. Distinct n-grams meet the blocks they are in; a block's share of
-    them is as bounded as its entries. An n-gram that many texts have is one row there, and its way back is a join that
-    can be split.
+
+def _by_joins(rows: DataFrame, model: Model, tables: Tables, scorer: Callable[[list[tuple], Callable[[np.ndarray], np.ndarray]], pa.RecordBatch]) -> DataFrame:
+    """What ``scorer`` makes of groups of ``rows`` (doc_id, text), with the levels that the filter's blocks have of their n-grams.
+
+    Texts are gathered to some megabytes, compressed and written once. A group asks for each of its distinct n-grams once, sorted and
+    without an address of its own: one row has all keys for a slice of the filter, the answer is as many levels in the same
+    order, and the group sorts its n-grams again to read them. A slice's rows pass its bits one after the other, so no task
+    holds more than the slice and some of the rows, however often an n-gram is asked for.
     """
-    asked_schema = pa.schema([("text_1", pa.int64()), ("text_2", pa.int64()), ("h", pa.int64())])
-    named_schema = pa.schema([("doc_id", pa.int64()), ("text_1", pa.int64()), ("text_2", pa.int64()), ("text", pa.string())])
+    blocks, width, many, size = model.blocks, BLOCK // 8, SLICE_BLOCKS, GROUP_BYTES
+    gathered_schema = pa.schema([("g", pa.string()), ("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("texts", pa.binary())])
+    asked_schema = pa.schema([("slice", pa.int64()), ("g", pa.string()), ("block", pa.int64()), ("data", pa.binary())])
+    found_schema = pa.schema([("slice", pa.int64()), ("g", pa.string()), ("levels", pa.binary())])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(_texts(batches), size):
+            texts = [t for _, t in group]
+            row = [uuid.uuid4().hex], [[i for i, _ in group]], [[len(t) for t in texts]], [pa.compress(b"".join(texts), "zstd", asbytes=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, gathered_schema, strict=True)], schema=gathered_schema)
+
+    def texts_of(lengths: list[int], packed: bytes) -> list[bytes]:
+        ends = np.cumsum(lengths, dtype=np.int64).tolist()
+        raw = pa.decompress(packed, ends[-1], "zstd", asbytes=True) if ends[-1] else b""
+        return [raw[e - n : e] for e, n in zip(ends, lengths, strict=True)]
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (text,) in _texts(batches):
-            tokens, begins, _ = _tokens([text])
-            keys = np.unique(np.concatenate((tokens, _pairs(tokens, begins[:-1])))).view(np.int64)
-            one, two = _names(tokens, begins)
-            for i in range(0, len(keys), 100_000):
-                part = keys[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), x[0])) for x in (one, two)] + [pa.array(part)], schema=asked_schema)
-
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            tokens, begins, _ = _tokens([t.encode("utf-8", "surrogatepass") for t in texts])
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.int64()) for x in _names(tokens, begins)], batch.column(1)], schema=named_schema)
-
-    blocks = model.blocks
-
-    def probe(asked: pa.Table, held: pa.Table) -> pa.Table:
-        keys = asked["h"].to_numpy()
-        levels = np.zeros(len(keys), np.uint8)
-        for b, bits in zip(held["block"].to_pylist(), held["bits"].to_pylist(), strict=True):
-            levels = np.maximum(levels, Slice(blocks, b, np.frombuffer(bits, np.uint8)).levels(keys.view(_U)))
-        return pa.table({"h": keys, "level": pa.array(levels.astype(np.int32))})
-
-    asked = tables.write(rows.select("text").mapInArrow(ask, "text_1 long, text_2 long, h long").distinct(), "asked", "snappy")
-    block = (F.shiftrightunsigned("h", 32) % blocks).alias("block")
-    found = asked.select("h").distinct().select(block, "h").groupBy("block").cogroup(model.filter.groupBy("block")).applyInArrow(probe, "h long, level int")
-    found = tables.write(found.withColumnRenamed("h", "h_f"), "found", "snappy")
-    both = asked.join(found, F.col("h") == F.col("h_f"))
-    packed = F.to_binary(F.array_join(F.transform("p", lambda x: F.lpad(F.hex(x["h"]), 16, "0")), ""), F.lit("hex"))
-    back = F.to_binary(F.array_join(F.transform("p", lambda x: F.lpad(F.hex(x["level"]), 2, "0")), ""), F.lit("hex"))
-    of_text = both.groupBy("text_1", "text_2").agg(F.collect_list(F.struct("h", "level")).alias("p"))
-    of_text = of_text.select(F.xxhash64("text_1", "text_2").alias("k"), F.col("text_1").alias("one"), F.col("text_2").alias("two"), packed.alias("keys"), back.alias("levels"))
-    named = rows.mapInArrow(name, "doc_id long, text_1 long, text_2 long, text string").withColumn("k_n", F.xxhash64("text_1", "text_2"))
-    return named.join(of_text, (F.col("k") == F.col("k_n")) & (F.col("text_1") == F.col("one")) & (F.col("text_2") == F.col("two"))).select("doc_id", "keys", "levels", "text")
+            for g, lengths, packed in zip(*(batch.column(n) for n in ("g", "lengths", "texts")), strict=True):
+                keys = _keys(texts_of(lengths.as_py(), packed.as_py()))
+                # By bytes of equal place: the highest of sorted keys are alike, which makes them short in the shuffle.
+                asked = [(k, g.as_py(), -1, keys[at].astype(">u8").view(np.uint8).reshape(-1, 8).T.tobytes()) for k, at in _slices(keys, blocks, many)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*asked, strict=True), asked_schema, strict=True)], schema=asked_schema)
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = -1, np.zeros(0, np.uint8)
+        for batch in batches:
+            found = []
+            for k, g, block, data in zip(*batch.columns, strict=True):
+                k, block, data = k.as_py(), block.as_py(), np.frombuffer(data.as_py(), np.uint8)
+                if k != held:
+                    held, now = k, np.zeros(many * width, np.uint8)
+                if block >= 0:
+                    now[(block - k * many) * width :][:width] = data
+                else:
+                    keys = np.ascontiguousarray(data.reshape(8, -1).T).view(">u8").ravel().astype(_U)
+                    found.append((k, g.as_py(), Slice(blocks, k * many, now).levels(keys).tobytes()))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), found_schema, strict=True)], schema=found_schema)
+
+    def score_group(texts: pa.Table, found: pa.Table) -> pa.Table:
+        (row,) = texts.to_pylist()
+        raw = texts_of(row["lengths"], row["texts"])
+        keys = _keys(raw)
+        levels, answers = np.zeros(len(keys), np.uint8), dict(zip(found["slice"].to_pylist(), found["levels"].to_pylist(), strict=True))
+        for k, at in _slices(keys, blocks, many):
+            levels[at] = np.frombuffer(answers[k], np.uint8)
+        return pa.Table.from_batches([scorer(group, lambda asked: levels[np.searchsorted(keys, asked)]) for group in groups(zip(row["ids"], raw, strict=True))])
+
+    gathered = tables.write(rows.mapInArrow(gather, "g string, ids array<long>, lengths array<long>, texts binary"), "gathered", "snappy")
+    bits = model.filter.select(F.floor(F.col("block") / many).cast("long").alias("slice"), F.lit("").alias("g"), "block", F.col("bits").alias("data"))
+    asked = bits.unionAll(gathered.mapInArrow(ask, "slice long, g string, block long, data binary"))
+    # The filter's rows, without a group, come before the keys.
+    met = asked.repartition(partitions(rows.sparkSession), "slice").sortWithinPartitions("slice", "g")
+    found = tables.write(met.mapInArrow(probe, "slice long, g string, levels binary"), "levels")
+    scored = tables.write(gathered.groupBy("g").cogroup(found.groupBy("g")).applyInArrow(score_group, _SCORED), "scored")
+    tables.drop(gathered, found)
+    return scored
 
 
 def train_and_score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -145,3 +145,28 @@ def test_one_text_in_very_many_rows(spark):
     d = docs(spark, ["a b c"] * 3000 + ["a b d"])
     got = lm_bloom.train_and_score(d, F.lit(True), max_broadcast=0).groupBy("n_tokens", "n_known", "score").count().collect()
     assert sorted(r["count"] for r in got) == [1, 3000]
+
+
+def test_a_filter_too_large_to_broadcast_writes_no_more_than_twice_the_input(spark, monkeypatch):
+    import os
+    from urllib.parse import urlparse
+
+    path, written, write = "/root/testdata/sf0.01/documents.parquet", Counter(), lm_bloom.Tables.write
+
+    def seen(self, df, name, *a):
+        table = write(self, df, name, *a)
+        written[name] += sum(os.path.getsize(urlparse(f).path) for f in table.inputFiles())
+        return table
+
+    monkeypatch.setattr(lm_bloom.Tables, "write", seen)
+    monkeypatch.setattr(lm_bloom, "SLICE_BLOCKS", 2)
+    monkeypatch.setattr(lm_bloom, "GROUP_BYTES", 1 << 18)
+    d, learn = spark.read.parquet(path), fold_remainder(F.col("doc_id"), 5) != 1
+    joined = lm_bloom.train_and_score(d, learn, max_broadcast=0)
+    of_model = ("counts", "entries", "filter", "scored")
+    assert sum(n for k, n in written.items() if k not in of_model) < 2 * os.path.getsize(path), written
+    whole = {r["doc_id"]: r for r in lm_bloom.train_and_score(d, learn).collect()}
+    got = joined.collect()
+    assert len(got) == len(whole) == d.count()
+    for r in got:
+        assert r["n_known"] == whole[r["doc_id"]]["n_known"] and close(r["score"], whole[r["doc_id"]]["score"]) and close(r["base_score"], whole[r["doc_id"]]["base_score"])
