@@ -422,6 +422,8 @@ def _by_joins(rows: DataFrame, model: Model, tables: Tables, scorer: Callable[[l
     # The filter's rows, without a group, come before the keys.
     met = asked.repartition(partitions(rows.sparkSession), "slice").sortWithinPartitions("slice", "g")
     found = tables.write(met.mapInArrow(probe, "slice long, g string, levels binary"), "levels")
+    # The keys' shuffle files go before the texts are dealt out.
+    tables.drop()
     scored = tables.write(gathered.groupBy("g").cogroup(found.groupBy("g")).applyInArrow(score_group, _SCORED), "scored")
     tables.drop(gathered, found)
     return scored
